@@ -25,8 +25,15 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op9_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.quality import judge
+
+    return judge(table(small_batches(spark), sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance2", 3).alias("distance2"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op9_robust_quality": op9_robust_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
