@@ -25,15 +25,29 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op7_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.sharding import assign_shards
+
+    return assign_shards(table(spark, sf_dir, "documents"), shards=40)
+
+
 def op9_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrymill.llm.quality import judge
 
     return judge(table(small_batches(spark), sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance2", 3).alias("distance2"))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.htmltext import extract
+
+    return extract(table(small_batches(spark), sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op7_lpt_sharding": op7_lpt_sharding,
     "op9_robust_quality": op9_robust_quality,
+    "op10_main_text": op10_main_text,
 }
 
 ORACLE_SQL: dict[str, str] = {}
