@@ -25,6 +25,15 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op5_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from quarrymill.llm.packing import pack
+
+    pieces = pack(table(small_batches(spark), sf_dir, "documents"), path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "step_group")
+
+
 def op7_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrymill.llm.sharding import assign_shards
 
@@ -45,6 +54,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op5_hierarchical_packing": op5_hierarchical_packing,
     "op7_lpt_sharding": op7_lpt_sharding,
     "op9_robust_quality": op9_robust_quality,
     "op10_main_text": op10_main_text,
