@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrymill.llm import chat, topk, urlfilter
 from quarrymill.llm.common import table
 
 #: Rows of one Arrow batch: keeps Python's memory bounded when texts are long.
@@ -25,6 +26,14 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op3_chat_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.chat import format_chats
+
+    chats = format_chats(table(spark, sf_dir, "conversations"))
+    trained = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["length"])
+    return chats.select("conv_id", "n_turns", "text", trained.alias("n_trained_chars"))
+
+
 def op5_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -34,12 +43,24 @@ def op5_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "step_group")
 
 
+def op6_url_redirect_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.urlfilter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op7_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrymill.llm.sharding import assign_shards
 
     return assign_shards(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op8_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrymill.llm.quality import judge
 
@@ -54,10 +75,17 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_chat_snapshot_collapse": op3_chat_snapshot_collapse,
     "op5_hierarchical_packing": op5_hierarchical_packing,
+    "op6_url_redirect_filter": op6_url_redirect_filter,
     "op7_lpt_sharding": op7_lpt_sharding,
+    "op8_nra_topk": op8_nra_topk,
     "op9_robust_quality": op9_robust_quality,
     "op10_main_text": op10_main_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat_snapshot_collapse": chat.ORACLE,
+    "op6_url_redirect_filter": urlfilter.oracle(),
+    "op8_nra_topk": topk.ORACLE,
+}
