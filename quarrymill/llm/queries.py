@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import chat, topk, urlfilter
+from quarrymill.llm import chat, mixing, topk, urlfilter
 from quarrymill.llm.common import table
 
 #: Rows of one Arrow batch: keeps Python's memory bounded when texts are long.
@@ -19,6 +19,11 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def op1_target_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.withColumn("probability", F.round("probability", 6))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrymill.llm.simhash import near_duplicates
 
@@ -74,6 +79,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_target_mix": op1_target_mix,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_chat_snapshot_collapse": op3_chat_snapshot_collapse,
     "op5_hierarchical_packing": op5_hierarchical_packing,
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_target_mix": mixing.oracle(),
     "op3_chat_snapshot_collapse": chat.ORACLE,
     "op6_url_redirect_filter": urlfilter.oracle(),
     "op8_nra_topk": topk.ORACLE,
