@@ -14,6 +14,10 @@ from quarrymill.llm.common import materialize
 CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 2048
 #: Survivors at which reading stops and their scores are resolved.
 SHORT_LIST = 128
+#: Shares of the lists read after each round.
+READ_SHARES = (0.5, 0.8, 0.9, 1.0)
+#: Queries whose bounds are held at once.
+BATCH = 256
 
 
 class SortedLists:
@@ -21,51 +25,52 @@ class SortedLists:
 
     def __init__(self, vectors: np.ndarray) -> None:
         self.vectors = vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable")
-        self.values = np.take_along_axis(vectors, self.order, axis=0)
+        self.values = np.sort(vectors, axis=0)
+        self.depths_read = 0.0
 
-    def survivors(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Positions of candidates that may be among the k highest inner products, ties included.
+    def bounds(self, depth: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """What is known of every candidate once depth entries of each list are read, from its best end: for queries
+        with a positive and with a negative component there, the (lowest, highest) values it may have.
 
-        The lists are read in step from their best ends.  A candidate's lower bound takes the worst value of each list
-        where it hasn't been seen, its upper bound the value last read there.  Candidates whose upper bound falls below
-        the k-th highest lower bound are out; reading stops when few are left or the lists end.
+        Entries read are known; of the others the value last read bounds the best and the list's far end the worst.
         """
-        n, _ = self.vectors.shape
-        if n <= max(k, SHORT_LIST):
-            return np.arange(n)
-        used = np.flatnonzero(query)
-        if not len(used):
-            return np.arange(n)
-        q = query[used]
-        rising = q < 0
-        order, values = self.order[:, used], self.values[:, used]
-        worst = np.where(rising, values[-1], values[0]) * q
-        unseen = np.ones((n, len(used)), np.float64)
-        partial = np.zeros(n)
-        columns = np.arange(len(used))
-        at, step = 0, max(32, n // 32)
-        while True:
-            end = min(n, at + step)
-            ids = np.where(rising, order[at:end], order[n - end : n - at][::-1])
-            got = np.where(rising, values[at:end], values[n - end : n - at][::-1]) * q
-            partial += np.bincount(ids.ravel(), got.ravel(), n)
-            unseen[ids, columns] = 0
-            at = end
-            rest = unseen @ np.stack([worst, got[-1]], axis=1)
-            least = np.partition(partial + rest[:, 0], n - k)[n - k]
-            left = np.flatnonzero(partial + rest[:, 1] >= least)
-            if at == n or len(left) <= SHORT_LIST:
-                return left
-
-    def best(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, scores) of the survivors whose exact score reaches the k-th highest."""
-        left = self.survivors(query, k)
-        scores = self.vectors[left] @ query
-        if len(left) > k:
-            on = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-            left, scores = left[on], scores[on]
-        return left, scores
+        x, v = self.vectors, self.values
+        top, low = v[len(v) - depth], v[depth - 1]
+        return (np.where(x >= top, x, v[0]), np.maximum(x, top)), (np.where(x <= low, x, v[-1]), np.minimum(x, low))
+
+    def best(self, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (positions, scores) of all candidates whose inner product reaches the k-th highest.
+
+        All lists are read in step, for all queries still open.  The bounds of every candidate's score are then
+        products of the bounds of its values with the query's positive and negative parts.  A candidate whose upper bound
+        falls below the k-th highest lower bound is out; a query is closed when few are left, and their scores resolved.
+        """
+        n = len(self.vectors)
+        out: list = [None] * len(queries)
+        open_now = np.arange(len(queries))
+        for share in (READ_SHARES if n > max(k, SHORT_LIST) else (1.0,)):
+            if not len(open_now):
+                break
+            depth = max(1, min(n, math.ceil(n * share)))
+            q = queries[open_now].T
+            plus, minus = np.maximum(q, 0), np.minimum(q, 0)
+            (low_p, high_p), (low_m, high_m) = self.bounds(depth)
+            upper = high_p @ plus + high_m @ minus
+            lower = low_p @ plus + low_m @ minus if depth < n else upper
+            least = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(open_now), -np.inf)
+            may = upper >= least
+            left = may.sum(0)
+            closed = (left <= SHORT_LIST) | (depth == n)
+            for j in np.flatnonzero(closed):
+                at = np.flatnonzero(may[:, j])
+                scores = self.vectors[at] @ queries[open_now[j]]
+                if len(at) > k:
+                    on = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                    at, scores = at[on], scores[on]
+                out[open_now[j]] = (at, scores)
+            self.depths_read += share * closed.sum()
+            open_now = open_now[~closed]
+        return out
 
 
 def _search(block: pa.Table, k: int) -> pa.Table:
@@ -73,19 +78,22 @@ def _search(block: pa.Table, k: int) -> pa.Table:
     is_query = np.array(block.column("is_query").to_pylist(), bool)
     rows = block.column("vector").combine_chunks()
     width = len(rows[0])
-    vectors = np.asarray(rows.flatten()).reshape(-1, width).astype(np.float64)
+    vectors = np.asarray(rows.flatten()).reshape(-1, width)
+    large = int(np.abs(vectors).max(initial=0))
+    vectors = vectors.astype(np.float32 if large * large * width < 2**24 else np.float64)  # sums stay exact
     keys = np.asarray(block.column("key"))
     ids = block.column("ids").to_pylist()
-    places = np.flatnonzero(~is_query)
+    places, asked = np.flatnonzero(~is_query), np.flatnonzero(is_query)
     out_key, out_id, out_score = [], [], []
     if len(places):
         lists = SortedLists(vectors[places])
-        for i in np.flatnonzero(is_query):
-            left, scores = lists.best(vectors[i], k)
-            found = sorted((-int(s), v) for p, s in zip(left, scores, strict=True) for v in ids[places[p]])[:k]
-            out_key += [keys[i]] * len(found)
-            out_id += [v for _, v in found]
-            out_score += [-s for s, _ in found]
+        for start in range(0, len(asked), BATCH):
+            some = asked[start : start + BATCH]
+            for i, (left, scores) in zip(some, lists.best(vectors[some], k), strict=True):
+                found = sorted((-int(s), v) for p, s in zip(left.tolist(), scores.tolist(), strict=True) for v in ids[places[p]])[:k]
+                out_key += [keys[i]] * len(found)
+                out_id += [v for _, v in found]
+                out_score += [-s for s, _ in found]
     return pa.table({"key": pa.array(out_key, pa.int64()), "vec_id": pa.array(out_id, pa.int64()), "score": pa.array(out_score, pa.int64())})
 
 
