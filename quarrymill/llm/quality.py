@@ -227,7 +227,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     Rows are matched by id and by a hash of what the verdict depends on, so null and repeated ids are safe.
     """
     groups = options.get("group_cols", ("lang", "source"))
-    inputs = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in (text_col, *groups)])
+    inputs = F.xxhash64(*[F.coalesce(docs[c].cast("string"), F.lit("\x00")) for c in (text_col, *groups)])
     verdict = judge(docs, id_col, text_col, keep={"gone_id": F.col(id_col), "gone_hash": inputs}, **options)
     gone = materialize(verdict.where(~F.col("kept")).select("gone_id", "gone_hash").distinct(), "quality-gone")
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("gone_id")) & (inputs == F.col("gone_hash")), "left_anti")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]) & (inputs == gone["gone_hash"]), "left_anti")

@@ -39,6 +39,12 @@ def op3_chat_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.select("conv_id", "n_turns", "text", trained.alias("n_trained_chars"))
 
 
+def op4_chained_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.substring import find_passages
+
+    return find_passages(table(small_batches(spark), sf_dir, "documents"))
+
+
 def op5_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_target_mix": op1_target_mix,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_chat_snapshot_collapse": op3_chat_snapshot_collapse,
+    "op4_chained_substring_dedup": op4_chained_substring_dedup,
     "op5_hierarchical_packing": op5_hierarchical_packing,
     "op6_url_redirect_filter": op6_url_redirect_filter,
     "op7_lpt_sharding": op7_lpt_sharding,

@@ -158,6 +158,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     found = near_duplicates(docs, id_col, text_col, width, max_bits)
     gone = materialize(found.where(F.col(id_col).isNotNull() & (F.col(id_col) != F.col("component_id"))).select(F.col(id_col).alias("gone_id")).distinct(), "simhash-gone")
-    wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = docs.join(gone, (docs[id_col] == F.col("gone_id")) & ~wordless, "left_anti")
+    wordless = ~F.coalesce(docs[text_col], F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept = docs.join(gone, (docs[id_col] == gone["gone_id"]) & ~wordless, "left_anti")
     return kept
