@@ -1 +1 @@
-
+"""Whole plans made of operators, and the catalogue of queries."""

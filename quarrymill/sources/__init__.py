@@ -1 +1 @@
-
+"""Where documents, registries and stores come from and go to."""
