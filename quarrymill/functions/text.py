@@ -79,6 +79,6 @@ def heading_level(heading: Column) -> Column:
 def basic_unescape(text: Column) -> Column:
     """The five named references of XML and the no-break space; unescape_html() in operators.cleaning knows all."""
     out = text
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
         out = F.replace(out, F.lit(name), F.lit(char))
     return out
