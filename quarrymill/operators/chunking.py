@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import fields
 from quarrymill.operators import structure
+from quarrymill.session import written
 
 PROSE_LIKE = ("prose", "list")
 TABLES = ("table", "definition_table", "abbreviation_table")
@@ -305,21 +306,23 @@ def chunk_documents(docs: DataFrame, config: ChunkConfig = ChunkConfig(), count:
     sections' own blocks and their direct children's count.  The ids of a document's children are those with it as
     parent, in the order of ord.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("markdown"))
-    sections, blocks = structure.parse(docs)
-    meta = document_meta(sections, blocks, docs)
+    docs = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("markdown"))
+    placed = written(structure.sections(structure.lines(docs)), "chunk-lines")
+    sections = placed.where("level IS NOT NULL")
+    blocks = written(structure.blocks(structure.islands(structure.regions(placed))), "chunk-blocks")
+    meta = written(document_meta(sections, blocks, docs), "chunk-meta")
     in_order = Window.partitionBy("doc_id").orderBy("line")
     tops = sections.where("parent = 0").withColumn("numbered", F.max(F.col("section_number").isNotNull().cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     tops = tops.withColumn("sec_idx", F.sum("numbered").over(in_order) - 1)
     top = tops.select("doc_id", F.col("line").alias("root"), F.col("heading").alias("top_heading"), F.col("section_number").alias("top_number"), "numbered", "sec_idx")
     node = sections.select("doc_id", F.col("line").alias("node"), F.col("heading").alias("node_heading"), F.col("section_number").alias("node_number"), F.col("parent").alias("node_parent"))
-    placed = blocks.join(node, ["doc_id", "node"], "left").join(top, ["doc_id", "root"], "left")
+    at = blocks.join(node, ["doc_id", "node"], "left").join(top, ["doc_id", "root"], "left")
 
     doc_key = chunk_id(F.col("doc_id"), [F.lit("__document__")], F.lit(0), F.lit(0))
     tier1 = meta.select(doc_key.alias("chunk_id"), "doc_id", F.lit("document_meta").alias("chunk_type"), F.lit(1).alias("tier"), document_summary().alias("text"), F.lit(0).alias("ord"))
 
     # sections of the body
-    lead = placed.where((F.col("numbered") == 1) & F.col("block_type").isin("prose", "atomic_delimited")).groupBy("doc_id", "node").agg(F.min_by("text", "start_line").alias("lead"))
+    lead = at.where((F.col("numbered") == 1) & F.col("block_type").isin("prose", "atomic_delimited")).groupBy("doc_id", "node").agg(F.min_by("text", "start_line").alias("lead"))
     body = top.where("numbered = 1")
     kids = sections.where("parent > 0").select("doc_id", F.col("line").alias("node"), F.col("heading").alias("kid"), F.col("parent").alias("root")).join(lead, ["doc_id", "node"], "left")
     kid_text = F.concat_ws("\n\n", F.concat(F.lit("### "), "kid"), F.nullif(first_sentence(F.col("lead")), F.lit("")))
@@ -332,7 +335,7 @@ def chunk_documents(docs: DataFrame, config: ChunkConfig = ChunkConfig(), count:
 
     # leaves of the body
     kind = fields.classify_block(F.col("block_type"), F.col("text"), F.col("node_heading"))
-    listed = placed.where("numbered = 1").select("doc_id", "root", "start_line", F.col("node").cast("int").alias("node"), kind.alias("kind"), "text")
+    listed = at.where("numbered = 1").select("doc_id", "root", "start_line", F.col("node").cast("int").alias("node"), kind.alias("kind"), "text")
     folded = listed.groupBy("doc_id", "root").agg(F.array_sort(F.collect_list(F.struct("start_line", "node", "kind", "text"))).alias("items"))
     plain = F.transform("items", lambda b: F.struct(b["node"].alias("node"), b["kind"].alias("kind"), b["text"].alias("text")))
     leaf = folded.select("doc_id", "root", F.posexplode(size_fold(count, config)(plain)).alias("ord", "p")).select("doc_id", "root", "ord", "p.*")
@@ -342,7 +345,7 @@ def chunk_documents(docs: DataFrame, config: ChunkConfig = ChunkConfig(), count:
     leaves = leaf.select(leaf_key.alias("chunk_id"), "doc_id", F.col("kind").alias("chunk_type"), "text", "whole", F.col("tokens").alias("token_count"), "parent_id", "ord", path.alias("section_path"), F.col("node_number").alias("section_number"), F.col("node_heading").alias("heading"))
 
     # front matter
-    fronts = placed.where("root = 0 or numbered = 0").where("node = root or node_parent = root")
+    fronts = at.where("root = 0 or numbered = 0").where("node = root or node_parent = root")
     front_heads = top.where("numbered = 0").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("root", "top_heading"))).alias("heads"))
     front_items = fronts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_line", F.col("node").cast("int").alias("node"), F.lit("front_matter").alias("kind"), "text"))).alias("items"))
     front_key = chunk_id(F.col("doc_id"), [F.lit("__section__"), F.lit(FRONT)], F.lit(0), F.lit(0))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.operators import chunking, enrich, lexical, queryplan, vectors
+from quarrymill.session import written
 from quarrymill.sources.providers import Embedder, HashEmbedder, embed
 
 
@@ -36,12 +37,12 @@ def build(markdown: DataFrame, config: chunking.ChunkConfig = chunking.ChunkConf
 
     docs = markdown.withColumn("markdown", clean_markdown(F.col("markdown"))) if clean else markdown
     chunks, meta = chunking.chunk_documents(docs, config)
-    store = embed_chunks(chunks, meta, embedder=embedder)
-    return assemble(chunks, meta, store)
+    chunks = written(chunks, "chunks")
+    return assemble(chunks, meta, written(embed_chunks(chunks, meta, embedder=embedder), "vectors"))
 
 
 def assemble(chunks: DataFrame, meta: DataFrame, store: DataFrame) -> Corpus:
     leaves = chunking.of_tier(chunks, 3)
-    index = lexical.postings(leaves, ["doc_id", "chunk_id"])
-    tables = queryplan.abbreviations(leaves.where("chunk_type = 'abbreviation_table'"), order=["ord"])
+    index = written(lexical.postings(leaves, ["doc_id", "chunk_id"]), "postings")
+    tables = written(queryplan.abbreviations(leaves.where("chunk_type = 'abbreviation_table'"), order=["ord"]), "abbreviations")
     return Corpus(chunks, meta, store, index, tables)

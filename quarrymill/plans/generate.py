@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarrymill.operators import answers
 from quarrymill.plans.corpus import Corpus
 from quarrymill.plans.retrieve import Retrieval
+from quarrymill.session import written
 from quarrymill.sources.providers import ExtractiveModel, complete
 
 
@@ -20,10 +21,10 @@ def generate(queries: DataFrame, found: Retrieval, corpus: Corpus, model: Callab
     verification, strategy, error.
     """
     listed = found.sections.withColumn("chunk_ids", F.transform("children", lambda c: c["chunk_id"]))
-    manifest = answers.source_manifest(listed, corpus.meta)
+    manifest = written(answers.source_manifest(listed, corpus.meta), "manifest")
     asked = queries.join(manifest.select("query_id").distinct(), "query_id", "left_semi")
     prompts = answers.prompts(asked, found.windows, answers.manifest_text(manifest))
-    replies = answers.parse_responses(complete(prompts, model or ExtractiveModel()))
+    replies = written(answers.parse_responses(complete(prompts, model or ExtractiveModel())), "replies")  # asks the model once
     claims = replies.where("ok").select("query_id", F.posexplode("claims").alias("claim_index", "c")).select("query_id", "claim_index", F.col("c.statement").alias("statement"), F.coalesce("c.source_ids", F.array().cast("array<int>")).alias("source_ids"))
     citations = answers.resolve_citations(claims, manifest)
     checked = answers.verify(replies.where("ok"), claims, manifest)

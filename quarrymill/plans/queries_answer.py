@@ -139,7 +139,7 @@ def citation_resolution(spark, sf_dir):
 
 
 VERIFY = f"""c AS (SELECT * FROM {CLAIM_SQL}), u AS (SELECT query_id, claim_index, generate_subscripts(source_ids, 1) AS nth, unnest(source_ids) AS source_id FROM c), w AS (SELECT query_id, source_id, min(claim_index * 100 + nth) AS place FROM u WHERE source_id > 8 GROUP BY ALL),
-  x AS (SELECT query_id, string_agg(source_id, ',' ORDER BY place) AS unmapped FROM w GROUP BY ALL), p AS (SELECT query_id, count(*) AS n, count(*) FILTER (len(source_ids) > 0) AS cited, string_agg(claim_index, ',' ORDER BY claim_index) FILTER (len(source_ids) = 0) AS uncited FROM c GROUP BY ALL),
+  x AS (SELECT query_id, string_agg(source_id, ',' ORDER BY place, source_id) AS unmapped FROM w GROUP BY ALL), p AS (SELECT query_id, count(*) AS n, count(*) FILTER (len(source_ids) > 0) AS cited, string_agg(claim_index, ',' ORDER BY claim_index) FILTER (len(source_ids) = 0) AS uncited FROM c GROUP BY ALL),
   v AS (SELECT a.*, unmapped IS NULL AS all_citations_resolved, coalesce(cited, 0) = coalesce(n, 0) AS all_claims_cited, unmapped IS NOT NULL AS contains_unmapped_citations, abstained = (coalesce(n, 0) = 0) AS abstention_consistent, CASE WHEN coalesce(n, 0) = 0 THEN 1.0::DOUBLE ELSE cited / n END AS coverage, coalesce(unmapped, '') AS unmapped, coalesce(uncited, '') AS uncited
     FROM {ANSWER_SQL} a LEFT JOIN p USING (query_id) LEFT JOIN x USING (query_id))"""
 

@@ -153,7 +153,7 @@ def requirement_fields(spark, sf_dir):
 SELECT DISTINCT l_orderkey, l_linenumber, id FROM i WHERE upper(id) NOT IN ({', '.join(f"'{w}'" for w in fields.GENERIC_WORDS)})""")
 def reference_ids(spark, sf_dir):
     rows = block_rows(spark, sf_dir).where("l_linenumber % 3 = 1")
-    return rows.select("l_orderkey", "l_linenumber", F.explode(fields.reference_ids(F.col("text"))).alias("id"))
+    return rows.select("l_orderkey", "l_linenumber", F.explode(fields.reference_ids(F.col("text"))).alias("id")).distinct()
 
 
 @query(f"SELECT l_orderkey, l_linenumber, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '{fields.COMPONENT_ID}'), lambda x: replace(x, ' ', '-')))), ';') AS ids FROM {BLOCK_SQL}")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.operators import context, fusion, lexical, lookup, queryplan, rerank, vectors
 from quarrymill.plans.corpus import Corpus
+from quarrymill.session import written
 from quarrymill.sources.config import RetrievalConfig
 from quarrymill.sources.providers import Embedder, HashEmbedder, LexicalPairScorer, embed, pair_scores
 
@@ -45,7 +46,7 @@ def hybrid_hits(analysis: DataFrame, corpus: Corpus, config: RetrievalConfig, em
         asked = queryplan.expand(asked, corpus.abbreviations, text_col="search_text")
     else:
         asked = asked.withColumn("expanded", F.col("search_text"))
-    asked = embed(asked, "expanded", embedder or HashEmbedder(), out="vector")
+    asked = written(embed(asked, "expanded", embedder or HashEmbedder(), out="vector"), "asked")
     n = config.top_k_broad
     key = F.xxhash64("chunk_id")
     pool = corpus.store.select(key.alias("vec_id"), "chunk_id", "doc_id", "doc_type", "module_name", "embedding")
@@ -66,11 +67,11 @@ def hybrid_hits(analysis: DataFrame, corpus: Corpus, config: RetrievalConfig, em
 
 def retrieve(queries: DataFrame, corpus: Corpus, config: RetrievalConfig = RetrievalConfig(), embedder: Embedder | None = None, scorer: Callable | None = None) -> Retrieval:
     """queries: (query_id, query).  An exact lookup without a hit falls through to the search and keeps its label."""
-    analysis = queryplan.analyse(queries, keep_ids_in_text=config.keep_ids_in_text)
-    exact = exact_hits(analysis, corpus)
+    analysis = written(queryplan.analyse(queries, keep_ids_in_text=config.keep_ids_in_text), "analysis")
+    exact = written(exact_hits(analysis, corpus), "exact")
     exact = fusion.backfill(exact, corpus.store.select("chunk_id", F.col("enriched").alias("text")), ["chunk_id"])
     open_queries = analysis.join(exact.select("query_id").distinct(), "query_id", "left_anti")
-    found = hybrid_hits(open_queries, corpus, config, embedder)
+    found = written(hybrid_hits(open_queries, corpus, config, embedder), "hybrid")
     again = rerank.reranker(config.reranker)
     if again is rerank.unchanged:
         best = again(found, config.top_k_final)
@@ -79,6 +80,6 @@ def retrieve(queries: DataFrame, corpus: Corpus, config: RetrievalConfig = Retri
         best = again(scored, config.top_k_final).withColumn("rank", F.col("new_rank"))
     cols = ["query_id", *KEYS, "score", "vector_score", "bm25_score", "rank", "text"]
     zero = F.lit(0.0)
-    hits = exact.withColumns({"vector_score": zero, "bm25_score": zero}).select(*cols).unionByName(best.select(*cols))
-    sections = context.within_budget(context.group_sections(hits.select("query_id", "chunk_id", "score", "rank", "text"), corpus.chunks), config.max_context_tokens)
+    hits = written(exact.withColumns({"vector_score": zero, "bm25_score": zero}).select(*cols).unionByName(best.select(*cols)), "hits")
+    sections = written(context.within_budget(context.group_sections(hits.select("query_id", "chunk_id", "score", "rank", "text"), corpus.chunks), config.max_context_tokens), "sections")
     return Retrieval(analysis, hits, sections, context.windows(sections, corpus.meta.select("doc_id", "doc_type")))

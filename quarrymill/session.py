@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "quarrymill", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -30,3 +32,22 @@ def build_session(app: str = "quarrymill", master: str | None = None, shuffle_pa
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; a temporary one only where none is set, as on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if current.isEmpty():
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarrymill-"))
+            current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = current.get()
+    return found.rstrip("/")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder: a plan that reads it is short, and survives a lost executor."""
+    path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
