@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import discard, materialize
+from quarrymill.llm.common import discard, free_name, materialize
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 MARKS = re.compile(r"[!?;:]")
@@ -20,18 +20,27 @@ SHOUT = re.compile(r"(?<=[A-ZÀ-ÖØ-Þ])[A-ZÀ-ÖØ-Þ]")
 BLANK = " \t\n\x0b\x0c\r"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_marks", "n_shout", "n_lines")
 
-#: (feature, SQL over COUNTS, least standard deviation).  The least deviation keeps a statistic that is constant
-#: among ordinary texts (most have no symbol at all) from rejecting the first text that differs a little.
+#: (feature, transformation of numerator / denominator, least standard deviation).  The least deviation keeps a
+#: statistic that is constant among ordinary texts (most have no symbol at all) from rejecting the first text that differs a little.
 FEATURES = (
-    ("word_length", "ln(word_chars / n_words)", 0.05),
-    ("symbols", "asinh(10D * n_symbols / n_words)", 0.2),
-    ("dup_lines", "asinh(10D * n_dup_lines / n_lines)", 0.6),
-    ("repeats", "asinh(10D * n_repeat_words / n_words)", 0.6),
-    ("marks", "asinh(10D * n_marks / n_words)", 0.2),
-    ("shouting", "asinh(10D * n_shout / word_chars)", 0.2),
+    ("word_length", "ln", "word_chars", "n_words", 0.05),
+    ("symbols", "asinh", "n_symbols", "n_words", 0.2),
+    ("dup_lines", "asinh", "n_dup_lines", "n_lines", 0.6),
+    ("repeats", "asinh", "n_repeat_words", "n_words", 0.6),
+    ("marks", "asinh", "n_marks", "n_words", 0.2),
+    ("shouting", "asinh", "n_shout", "word_chars", 0.2),
 )
 
 
+def features(row: dict[str, Column]) -> list[Column]:
+    """The transformed statistics: logarithms, and for shares that may be zero asinh of ten times the share."""
+    return [F.ln(F.try_divide(row[a], row[b])) if kind == "ln" else F.asinh(F.lit(10.0) * F.try_divide(row[a], row[b])) for _, kind, a, b, _ in FEATURES]
+
+
+def base_failed(row: dict[str, Column]) -> Column:
+    return (row["n_words"] < 50) | (100 * row["n_repeat_words"] > 50 * row["n_words"])
+
+
 def repeated_words(words: list[bytes], width: int = 3) -> int:
     """Words in windows of that many words which occur twice or more in the text, the first occurrence included."""
     n = len(words)
@@ -109,19 +118,20 @@ def _model(center: np.ndarray, cov: np.ndarray, floors: np.ndarray) -> tuple[lis
 MODEL_SCHEMA = "grp string, center array<double>, inverse array<double>"
 
 
-def _distance(p: int) -> Column:
-    """Squared Mahalanobis distance of the columns f0.. from center under inverse, as one codegen expression."""
-    diff = [F.col(f"f{i}") - F.col("center")[i] for i in range(p)]
+def _distance(values: list[Column], center: Column, inverse: Column) -> Column:
+    """Squared Mahalanobis distance of values from center under inverse, as one codegen expression."""
+    p = len(values)
+    diff = [v - center[i] for i, v in enumerate(values)]
     total = F.lit(0.0)
     for i in range(p):
-        total = total + diff[i] * diff[i] * F.col("inverse")[i * p + i]
+        total = total + diff[i] * diff[i] * inverse[i * p + i]
         for j in range(i):
-            total = total + F.lit(2.0) * diff[i] * diff[j] * F.col("inverse")[i * p + j]
+            total = total + F.lit(2.0) * diff[i] * diff[j] * inverse[i * p + j]
     return total
 
 
 def _distances(rows: DataFrame, model: DataFrame, p: int) -> DataFrame:
-    return rows.join(model, rows["grp"] == model["grp"]).select(rows["grp"], *[f"f{i}" for i in range(p)], _distance(p).alias("d2"))
+    return rows.join(model, rows["grp"] == model["grp"]).select(rows["grp"], *[f"f{i}" for i in range(p)], _distance([F.col(f"f{i}") for i in range(p)], F.col("center"), F.col("inverse")).alias("d2"))
 
 
 def mcd_models(rows: DataFrame, floors: list[float], share: float = 0.5, steps: int = 3) -> DataFrame:
@@ -178,6 +188,29 @@ def mcd_models(rows: DataFrame, floors: list[float], share: float = 0.5, steps:
     return model
 
 
+def _groups(group_cols: tuple[str, ...]) -> dict[str, Column]:
+    return {f"g{i}": F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for i, c in enumerate(group_cols)}
+
+
+def fit(stats: DataFrame, n_cols: int, least_group: int) -> tuple[DataFrame, DataFrame]:
+    """(groups, models) of stats, which has COUNTS and g0, g1, ..: groups (h0, h1, .., grp: null without an estimate)
+    says which model a row of a group is held against."""
+    row = {c: F.col(c) for c in COUNTS}
+    failed = base_failed(row)
+    gs = [f"g{i}" for i in range(n_cols)]
+    levels = [F.concat_ws("\x01", *[F.col(g) if i < n else F.lit("\x02") for i, g in enumerate(gs)]) for n in range(n_cols, -1, -1)]
+    chosen = stats.where(~failed).groupBy(*gs).agg(F.count("*").alias("n")).withColumn("grp", levels[0])
+    for level in levels[1:]:
+        chosen = chosen.withColumn("held", F.sum("n").over(Window.partitionBy("grp"))).withColumn("grp", F.when(F.col("held") >= least_group, F.col("grp")).otherwise(level)).drop("held")
+    chosen = chosen.withColumn("held", F.sum("n").over(Window.partitionBy("grp")))
+    groups = materialize(chosen.select(*[F.col(g).alias(f"h{i}") for i, g in enumerate(gs)], F.when(F.col("held") >= least_group, F.col("grp")).alias("grp")), "quality-groups")
+    rated = stats.where(~failed).join(groups, [F.col(g) == F.col(f"h{i}") for i, g in enumerate(gs)]).where("grp is not null")
+    rated = materialize(rated.select("grp", *[f.alias(f"f{i}") for i, f in enumerate(features(row))]), "quality-features")
+    models = mcd_models(rated, [f[-1] for f in FEATURES])
+    discard(rated)
+    return groups, models
+
+
 def judge(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -185,49 +218,54 @@ def judge(
     group_cols: tuple[str, ...] = ("lang", "source"),
     least_group: int = 50,
     tail: float = 1e-6,
-    keep: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """One row for each row of docs: (kept columns, COUNTS, grp, base_failed, distance2, kept).
+    """One row for each row of docs: (id_col, COUNTS, grp, base_failed, distance2, kept).
 
     base_failed: under 50 words, or over half of the words repeat.  Other rows are rejected if their squared
     Mahalanobis distance from the robust estimate of their group (language and source) exceeds the chi-square
     quantile of the tail.  Groups of under least_group such rows are pooled by language, then altogether; rows of a
     pool that is still smaller have no estimate (distance2 null) and are kept.  Null languages and sources are
     groups of their own.  Null and empty texts have zero counts and fail.  Repeated rows and ties are judged alike.
+    Other columns are not read.  An empty table gives an empty result.
     """
-    keep = keep or {id_col: F.col(id_col)}
-    cols = {f"k{i}": c for i, c in enumerate(keep.values())} | {f"g{i}": F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for i, c in enumerate(group_cols)}
-    stats = materialize(text_counts(docs, cols, text_col), "quality-counts")
-    failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
-    levels = [F.concat_ws("\x01", *[F.col(f"g{i}") if i < n else F.lit("\x02") for i in range(len(group_cols))]) for n in range(len(group_cols), -1, -1)]
-    sizes = stats.where(~failed).groupBy(*[f"g{i}" for i in range(len(group_cols))]).agg(F.count("*").alias("n"))
-    chosen = sizes.withColumn("grp", levels[0])
-    for level in levels[1:]:
-        held = F.sum("n").over(Window.partitionBy("grp"))
-        chosen = chosen.withColumn("held", held).withColumn("grp", F.when(F.col("held") >= least_group, F.col("grp")).otherwise(level)).drop("held")
-    chosen = chosen.withColumn("held", F.sum("n").over(Window.partitionBy("grp"))).select(*[F.col(f"g{i}").alias(f"h{i}") for i in range(len(group_cols))], F.when(F.col("held") >= least_group, F.col("grp")).alias("grp"))
-    chosen = materialize(chosen, "quality-groups")
-    same = [F.col(f"g{i}") == F.col(f"h{i}") for i in range(len(group_cols))]
-    rated = stats.join(chosen, same, "left").drop(*[f"h{i}" for i in range(len(group_cols))])
-    p = len(FEATURES)
-    rated = rated.withColumns({"base_failed": failed} | {f"f{i}": F.when(~failed, F.expr(sql)) for i, (_, sql, _) in enumerate(FEATURES)})
-    rated = materialize(rated, "quality-features")
-    fit = rated.where("not base_failed and grp is not null").select("grp", *[f"f{i}" for i in range(p)])
-    model = mcd_models(fit, [f[2] for f in FEATURES])
-    limit = chi2_quantile(1 - tail, p)
-    near = rated.join(model.withColumnRenamed("grp", "grp_"), F.col("grp") == F.col("grp_"), "left").withColumn("distance2", F.when(~F.col("base_failed"), _distance(p)))
-    kept = ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= limit)
-    discard(stats, chosen)
-    return near.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], *COUNTS, "grp", "base_failed", "distance2", kept.alias("kept"))
-
-
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    stats = materialize(text_counts(docs, {"id": F.col(id_col)} | _groups(group_cols), text_col), "quality-counts")
+    groups, models = fit(stats, len(group_cols), least_group)
+    near = stats.join(groups, [F.col(f"g{i}") == F.col(f"h{i}") for i in range(len(group_cols))], "left")
+    near = near.join(models.withColumnRenamed("grp", "grp_"), F.col("grp") == F.col("grp_"), "left")
+    row = {c: F.col(c) for c in COUNTS}
+    failed = base_failed(row)
+    distance = F.when(~failed, _distance(features(row), F.col("center"), F.col("inverse")))
+    kept = ~failed & (F.coalesce(distance, F.lit(0.0)) <= chi2_quantile(1 - tail, len(FEATURES)))
+    return near.select(F.col("id").alias(id_col), *COUNTS, "grp", failed.alias("base_failed"), distance.alias("distance2"), kept.alias("kept"))
+
+
+def keep_good(
+    docs: DataFrame,
+    text_col: str = "text",
+    group_cols: tuple[str, ...] = ("lang", "source"),
+    least_group: int = 50,
+    tail: float = 1e-6,
+) -> DataFrame:
     """The rows of docs that judge() keeps, with the columns of docs.
 
-    Rows are matched by id and by a hash of what the verdict depends on, so null and repeated ids are safe.
+    docs is read twice, once for the estimates and once to hold each row against its group's; only the small tables of
+    groups and estimates are joined to it, so no text is shuffled.  Rows need no id.
     """
-    groups = options.get("group_cols", ("lang", "source"))
-    inputs = F.xxhash64(*[F.coalesce(docs[c].cast("string"), F.lit("\x00")) for c in (text_col, *groups)])
-    verdict = judge(docs, id_col, text_col, keep={"gone_id": F.col(id_col), "gone_hash": inputs}, **options)
-    gone = materialize(verdict.where(~F.col("kept")).select("gone_id", "gone_hash").distinct(), "quality-gone")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]) & (inputs == gone["gone_hash"]), "left_anti")
+    stats = materialize(text_counts(docs, _groups(group_cols), text_col), "quality-counts")
+    groups, models = fit(stats, len(group_cols), least_group)
+    known = groups.join(models.withColumnRenamed("grp", "grp_"), F.col("grp") == F.col("grp_"), "left")
+    known = materialize(known.select(F.array(*[f"h{i}" for i in range(len(group_cols))]).alias("of"), "center", "inverse"), "quality-known")
+    discard(stats, groups, models)
+
+    @F.pandas_udf(", ".join(f"{c} long" for c in COUNTS))
+    def counted(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([counts(t) for t in texts], columns=list(COUNTS))
+
+    name = free_name(docs, "quality_counts")
+    own = docs.withColumn(name, counted(F.col(text_col)))
+    row = {c: F.col(name)[c] for c in COUNTS}
+    joined = own.join(known, F.array(*[F.coalesce(docs[c].cast("string"), F.lit("\x00")) for c in group_cols]) == known["of"], "left")
+    failed = base_failed(row)
+    distance = F.when(~failed, _distance(features(row), known["center"], known["inverse"]))
+    good = ~failed & (F.coalesce(distance, F.lit(0.0)) <= chi2_quantile(1 - tail, len(FEATURES)))
+    return joined.where(good).select(*[docs[c] for c in docs.columns])
