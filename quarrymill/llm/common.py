@@ -63,15 +63,13 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     Every step is written to the shared folder.  Nodes may be of any ordered type; nulls and loops are ignored.
     """
     a, b = F.col(left), F.col(right)
-    cur = materialize(edges.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), "cc")
+    cur = materialize(edges.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")), "cc")
     seen = fingerprint(cur)
     while seen[0]:
         both = cur.union(cur.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         least = materialize(both.groupBy(F.col("hi").alias("k")).agg(F.min(F.least("hi", "lo")).alias("m")), "cc-min")
-        large = materialize(
-            both.where("lo > hi").join(least, F.col("hi") == F.col("k")).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct(),
-            "cc-large",
-        )
+        # each edge gives one at most, so repeats need not be dropped here
+        large = materialize(both.where("lo > hi").join(least, F.col("hi") == F.col("k")).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")), "cc-large")
         low = materialize(large.groupBy(F.col("hi").alias("k")).agg(F.min("lo").alias("m")), "cc-low")
         small = large.join(low, F.col("hi") == F.col("k")).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         nxt = materialize(small.union(low.select(F.col("k").alias("hi"), F.col("m").alias("lo"))).distinct(), "cc")

@@ -82,46 +82,46 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, fp long")
 
 
-def _variants(fps: DataFrame, set_bit: bool | None) -> DataFrame:
-    """Signatures of one-wildcard segments: (seg, hole, key, fp, comp).
+def _variants(nodes: DataFrame, set_bit: bool | None) -> DataFrame:
+    """Signatures of one-wildcard segments: (seg, hole, key, node, label).
 
     A fingerprint is cut into two segments of 32 bits, of which one differs by at most one bit if the whole differs by
     at most three.  hole is the wildcard's place; set_bit picks the fingerprints with or without that bit, so that a
     pair meets once for each segment; None gives the segments without a wildcard, for those that agree.
     """
-    fps = fps.select("fp", "comp", F.expr("fp & 4294967295L").alias("h0"), F.expr("shiftrightunsigned(fp, 32)").alias("h1"))
+    cut = nodes.select("node", "label", F.expr("node.fp & 4294967295L").alias("h0"), F.expr("shiftrightunsigned(node.fp, 32)").alias("h1"))
     if set_bit is None:
         parts = [f"array(named_struct('seg', {s}, 'hole', -1, 'key', h{s}))" for s in (0, 1)]
     else:
         parts = [f"transform(filter(sequence(0, 31), b -> getbit(h{s}, b) = {int(set_bit)}), b -> named_struct('seg', {s}, 'hole', b, 'key', h{s} & ~shiftleft(1L, b)))" for s in (0, 1)]
-    return fps.select("fp", "comp", F.explode(F.expr(f"concat({', '.join(parts)})")).alias("v")).select("v.seg", "v.hole", "v.key", "fp", "comp")
+    return cut.select("node", "label", F.explode(F.expr(f"concat({', '.join(parts)})")).alias("v")).select("v.seg", "v.hole", "v.key", "node", "label")
 
 
-def _one_bit_links(distinct: DataFrame) -> DataFrame:
-    """(a, b): each fingerprint tied to the least one that equals it but for one wildcard bit; linear in the rows."""
-    holes = distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("hole"))
-    keyed = holes.withColumn("key", F.expr("fp & ~shiftleft(1L, hole)"))
+def _one_bit_labels(nodes: DataFrame) -> DataFrame:
+    """(tied, label): nodes with a smaller one that equals them but for one wildcard bit, and the smallest such; linear in the rows."""
+    holes = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("hole"))
+    keyed = holes.withColumn("key", F.expr("node.fp & ~shiftleft(1L, hole)"))
     # two fingerprints at most share (hole, key), so the group's minimum and maximum are its members
-    pairs = keyed.groupBy("hole", "key").agg(F.min("fp").alias("a"), F.max("fp").alias("b"))
-    return pairs.where("a <> b").select("a", "b")
+    pairs = keyed.groupBy("hole", "key").agg(F.min("node").alias("label"), F.max("node").alias("tied")).where("label <> tied")
+    return pairs.groupBy("tied").agg(F.min("label").alias("label"))
 
 
-def near_links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
-    """Pairs (a, b) of fingerprints at max_bits (at most 3) or fewer differing bits whose comp differs.
+def near_links(nodes: DataFrame, max_bits: int = 3) -> DataFrame:
+    """Pairs (a, b) of nodes at max_bits (at most 3) or fewer differing bits whose labels differ.
 
-    distinct: (fp, comp).  Pairs within one component are left out: they can't change the components.
+    nodes: (node with its fp, label).  Nodes of one label are one bit or none from it, so pairs of them are left out.
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("two segments with one wildcard find at most three differing bits")
-    same = _variants(distinct, None)
-    sides = [(same, same), (_variants(distinct, False), _variants(distinct, True))]
+    same = _variants(nodes, None)
+    sides = [(same, same), (_variants(nodes, False), _variants(nodes, True))]
     found = []
     for left, right in sides:
         x, y = left.alias("x"), right.alias("y")
         met = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("seg", "hole", "key")]
-        close = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= max_bits
-        found.append(x.join(y, [*met, F.col("x.comp") != F.col("y.comp"), close]).select(F.col("x.comp").alias("a"), F.col("y.comp").alias("b")))
-    return found[0].where("a < b").union(found[1]).distinct()
+        close = F.bit_count(F.col("x.node.fp").bitwiseXOR(F.col("y.node.fp"))) <= max_bits
+        found.append(x.join(y, [*met, F.col("x.label") != F.col("y.label"), close]).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    return found[0].where("a < b").union(found[1])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 3) -> DataFrame:
@@ -132,21 +132,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stay, each with its component.  A null id gets the component of its fingerprint (null if all of it is null).
     Other columns of docs, whatever their names, are not read.  An empty table gives an empty result.
 
-    Rows with one fingerprint are one node; nodes one bit apart are merged first, by grouping; only pairs of different
-    components then come from the signature join, so a large group of near copies does not emit its pairs.
+    Rows with one fingerprint are one node, ordered by its smallest id.  Nodes one bit from a common smallest one share
+    its label, by grouping; only pairs of different labels then come from the signature join, so a large group of near
+    copies does not emit its pairs.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, width), "simhash")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-distinct")
-    nodes = distinct.select("fp")
-    merged = materialize(connected_components(_one_bit_links(nodes), "a", "b") if max_bits else nodes.limit(0).select(F.col("fp").alias("node"), F.col("fp").alias("component")), "simhash-one")
-    comp = materialize(nodes.join(merged, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("comp")), "simhash-comp")
-    links = materialize(near_links(comp, max_bits), "simhash-links")
-    roots = connected_components(links, "a", "b")
-    label = comp.join(roots, F.col("comp") == F.col("node"), "left").select("fp", F.coalesce("component", "comp").alias("root")).join(distinct, "fp")
-    label = materialize(label, "simhash-root")
-    least = materialize(label.groupBy("root").agg(F.min("rep").alias("component_id")), "simhash-least")
-    named = materialize(label.join(least, "root").select(F.col("fp").alias("fp_"), "component_id"), "simhash-named")
-    discard(distinct, merged, comp, links, label, least)
+    distinct = fps.groupBy("fp").agg(F.min("id").alias("rep"))
+    nodes = materialize(distinct.select(F.struct(F.col("rep").isNull().alias("none"), F.coalesce("rep", F.lit(0)).alias("rep"), "fp").alias("node")), "simhash-nodes")
+    if max_bits:
+        labels = materialize(_one_bit_labels(nodes), "simhash-labels")
+        labelled = nodes.join(labels, F.col("node") == F.col("tied"), "left").select("node", F.coalesce("label", "node").alias("label"))
+        labelled = materialize(labelled, "simhash-labelled")
+        edges = near_links(labelled, max_bits).union(labels.select("tied", "label"))
+    else:
+        labels = labelled = nodes.withColumn("label", F.col("node"))
+        edges = near_links(labelled, 0)
+    roots = connected_components(materialize(edges, "simhash-links"), "a", "b").withColumnRenamed("node", "member")
+    root = F.coalesce("component", F.col("node"))
+    named = nodes.join(roots, F.col("node") == F.col("member"), "left").select(F.col("node.fp").alias("fp_"), F.when(~root["none"], root["rep"]).alias("component_id"))
+    named = materialize(named, "simhash-named")
+    discard(labels, labelled, nodes)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return fps.join(named, F.col("fp") == F.col("fp_")).select(F.col("id").alias(id_col), "fp", hexed, "component_id")
 
