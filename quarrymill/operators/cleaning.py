@@ -41,7 +41,7 @@ def per_document(fn: Callable[[str], str]) -> Callable[[Column], Column]:
     @F.pandas_udf(T.StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(fn, na_action="ignore")
+            yield pd.Series([None if t is None else fn(t) for t in texts], dtype=object)
 
     return run
 
@@ -256,7 +256,7 @@ def format_test(block: str) -> str:
     """One test case as bold fields between rules; a block without an id stays as it is."""
     marks = list(TEST_FIELD.finditer(block))
     pairs = []
-    for m, end in zip(marks, [*(m.start() for m in marks[1:]), len(block)], strict=True):
+    for m, end in zip(marks, [*(m.start() for m in marks), len(block)][1:], strict=True):
         value = block[m.end() : end].strip()
         pairs.append((m[1].strip(), value[3:].strip() if value.startswith("## ") else value))
     pairs = undisplace(pairs)
@@ -285,7 +285,7 @@ def format_tests(md: str) -> str:
     """Every test case, from its start line to the next start or numbered heading."""
     starts = [m.start() for m in TEST_START.finditer(md)]
     out, done = [], 0
-    for start, stop in zip(starts, [*starts[1:], len(md)], strict=True):
+    for start, stop in zip(starts, [*starts, len(md)][1:], strict=True):
         out.append(md[done:start])
         line_end = md.find("\n", start, stop) + 1
         cut = NUMBERED_HEADING.search(md, line_end, stop) if line_end else None

@@ -54,7 +54,7 @@ def known(registry: DataFrame, hashes: DataFrame) -> DataFrame:
 def load(spark: SparkSession, path: str) -> DataFrame:
     """The registry's JSON lines; malformed ones are left out, a missing or unreadable file is an empty registry."""
     try:
-        rows = spark.read.schema(f"{SCHEMA}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path).cache()
+        rows = spark.read.schema(f"{SCHEMA}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
         return rows.where("_corrupt IS NULL AND hash IS NOT NULL AND doc_id IS NOT NULL").drop("_corrupt")
     except Exception as e:  # the reader reports a missing path as an analysis error
         if "PATH_NOT_FOUND" not in str(e):
