@@ -93,8 +93,9 @@ def knn_filtered(spark, sf_dir):
     return vectors.nearest(asked(spark, sf_dir), table(spark, sf_dir, "embeddings"), filters={"label": 3}).withColumn("score", F.round("score", 6))
 
 
-# Both lists rank documents: vectors by id, lines by their document's best.
-FUSED = f"""{SCORES}, {NEAR.format(on='true')}, b AS (SELECT item_id AS query_id, doc_id, max(score) AS score FROM s GROUP BY ALL),
+# Both lists rank documents: vectors by id, the best lines by their document's best.
+FUSED = f"""{SCORES}, {NEAR.format(on='true')}, top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id, ord) AS nth FROM s),
+  b AS (SELECT item_id AS query_id, doc_id, max(score) AS score FROM top WHERE nth <= 20 GROUP BY ALL),
   b2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM b),
   vl AS (SELECT query_id // 25 AS query_id, vec_id AS doc_id, rank AS vec_rank, greatest(cos, 0) AS vector_score FROM k WHERE rank <= 20), bl AS (SELECT query_id, doc_id, rank AS bm25_rank, score AS bm25_score FROM b2 WHERE rank <= 20),
   f AS (SELECT coalesce(vl.query_id, bl.query_id) AS query_id, coalesce(vl.doc_id, bl.doc_id) AS doc_id, vec_rank, bm25_rank, coalesce(vector_score, 0) AS vector_score, coalesce(bm25_score, 0) AS bm25_score,
@@ -104,8 +105,7 @@ FUSED = f"""{SCORES}, {NEAR.format(on='true')}, b AS (SELECT item_id AS query_id
 
 def fused(spark, sf_dir) -> DataFrame:
     near = vectors.nearest(asked(spark, sf_dir), table(spark, sf_dir, "embeddings")).select(F.floor(F.col("query_id") / 25).cast("long").alias("query_id"), F.col("vec_id").alias("doc_id"), "score", "rank")
-    scores = lexical.bm25_scores(table(spark, sf_dir, "benchmark"), line_index(spark, sf_dir).persist(), KEYS, "item_id", tokenizer=lexical.plain_tokens).where("score > 0")
-    docs = scores.groupBy(F.col("item_id").alias("query_id"), "doc_id").agg(F.max("score").alias("score"))
+    docs = bm25(spark, sf_dir).groupBy(F.col("item_id").alias("query_id"), "doc_id").agg(F.max("score").alias("score"))
     words = docs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id"))).where("rank <= 20")
     return fusion.rrf(near, words, ["doc_id"])
 
