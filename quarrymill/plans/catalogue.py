@@ -10,8 +10,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, name: str | None = None):
-    """Registers a query under its function's name, with the SQL that gives the same rows where SQL can."""
+def query(sql: str | None = None, name: str | None = None, **types: str):
+    """Registers a query under its function's name, with the SQL that gives the same rows where SQL can.
+
+    types: columns of the SQL to cast, where its types are wider than the query's.
+    """
+    if types:
+        sql = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS {t}) AS {c}' for c, t in types.items())}) FROM ({sql})"
 
     def add(fn: Callable[[SparkSession, str], DataFrame]):
         key = name or fn.__name__

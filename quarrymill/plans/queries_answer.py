@@ -78,7 +78,7 @@ def context_hint(spark, sf_dir):
 
 @query(f"""WITH {GROUPS}, b AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY position ROWS UNBOUNDED PRECEDING) AS upto FROM s), c AS (SELECT * FROM b WHERE position = 1 OR upto <= 300)
 SELECT query_id, sum(tokens) AS total_tokens, string_agg(children || coalesce(',' || leads, ''), ',' ORDER BY position) AS chunk_ids,
-  regexp_replace(string_agg('### ' || section_heading || CASE WHEN coalesce(preamble, '') <> '' THEN chr(10) || chr(10) || preamble ELSE '' END || chr(10) || chr(10) || said || chr(10) || chr(10), chr(10) || chr(10) ORDER BY position), '\\s+$', '') AS prompt_text FROM c GROUP BY query_id""")
+  regexp_replace(string_agg('### ' || section_heading || CASE WHEN coalesce(preamble, '') <> '' THEN chr(10) || chr(10) || preamble ELSE '' END || chr(10) || chr(10) || said || chr(10) || chr(10), chr(10) || chr(10) ORDER BY position), '\\s+$', '') AS prompt_text FROM c GROUP BY query_id""", total_tokens="BIGINT")
 def prompt_text(spark, sf_dir):
     made = context.windows(context.within_budget(sections(spark, sf_dir), 300))
     return made.select("query_id", "total_tokens", F.array_join("chunk_ids", ",").alias("chunk_ids"), "prompt_text")

@@ -302,7 +302,7 @@ def scored(spark, sf_dir) -> DataFrame:
 NAMES = ", ".join(f"round({m}, 6) AS {m}" for m in metrics.RETRIEVAL)
 
 
-@query(f"{METRICS} SELECT query_id, label, {NAMES} FROM m")
+@query(f"{METRICS} SELECT query_id, label, {NAMES} FROM m", hit="DOUBLE")
 def retrieval_metrics(spark, sf_dir):
     return metrics.report(scored(spark, sf_dir), 6)
 

@@ -38,28 +38,28 @@ PLACED = f"""WITH l AS ({HEADED}), b AS (SELECT *, min(level) OVER (PARTITION BY
   FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING))"""
 
 
-@query(f"SELECT doc_id, line, level, h AS heading, nullif(rtrim(regexp_extract(h, '^(\\d+(?:\\.\\d+)*\\.?)\\s+(.*)', 1), '.'), '') AS section_number FROM ({HEADED}) WHERE level IS NOT NULL")
+@query(f"SELECT doc_id, line, level, h AS heading, nullif(rtrim(regexp_extract(h, '^(\\d+(?:\\.\\d+)*\\.?)\\s+(.*)', 1), '.'), '') AS section_number FROM ({HEADED}) WHERE level IS NOT NULL", line="INTEGER", level="INTEGER")
 def heading_lines(spark, sf_dir):
     return structure.lines(markdown(spark, sf_dir)).where("level IS NOT NULL").select("doc_id", "line", "level", "heading", "section_number")
 
 
-@query(f"SELECT doc_id, line, CASE WHEN n <> '' THEN len(string_split(n, '.')) END AS level FROM (SELECT *, regexp_extract(trim(h), '^(\\d+(?:\\.\\d+)*)\\b', 1) AS n FROM ({HEADED}) WHERE level IS NOT NULL)")
+@query(f"SELECT doc_id, line, CASE WHEN n <> '' THEN len(string_split(n, '.')) END AS level FROM (SELECT *, regexp_extract(trim(h), '^(\\d+(?:\\.\\d+)*)\\b', 1) AS n FROM ({HEADED}) WHERE level IS NOT NULL)", line="INTEGER", level="INTEGER")
 def heading_levels(spark, sf_dir):
     return structure.lines(markdown(spark, sf_dir)).where("level IS NOT NULL").select("doc_id", "line", rules.heading_level(F.col("heading")).alias("level"))
 
 
-@query(f"{PLACED} SELECT doc_id, line, node, root FROM p")
+@query(f"{PLACED} SELECT doc_id, line, node, root FROM p", line="INTEGER", node="INTEGER", root="INTEGER")
 def section_assign(spark, sf_dir):
     return structure.sections(structure.lines(markdown(spark, sf_dir))).select("doc_id", "line", "node", "root")
 
 
-@query(f"{PLACED} SELECT doc_id, line, h AS heading FROM p WHERE level IS NOT NULL AND root = line")
+@query(f"{PLACED} SELECT doc_id, line, h AS heading FROM p WHERE level IS NOT NULL AND root = line", line="INTEGER")
 def root_sections(spark, sf_dir):
     return structure.sections(structure.lines(markdown(spark, sf_dir))).where("parent = 0").select("doc_id", "line", "heading")
 
 
 @query(f"""{PLACED}, hs AS (SELECT doc_id, line, level FROM p WHERE level IS NOT NULL)
-SELECT c.doc_id, c.line, coalesce(max(a.line), 0) AS parent FROM hs c LEFT JOIN hs a ON a.doc_id = c.doc_id AND a.line < c.line AND a.level < c.level GROUP BY c.doc_id, c.line""")
+SELECT c.doc_id, c.line, coalesce(max(a.line), 0) AS parent FROM hs c LEFT JOIN hs a ON a.doc_id = c.doc_id AND a.line < c.line AND a.level < c.level GROUP BY c.doc_id, c.line""", line="INTEGER", parent="INTEGER")
 def section_parents(spark, sf_dir):
     return structure.sections(structure.lines(markdown(spark, sf_dir))).where("level IS NOT NULL").select("doc_id", "line", "parent")
 
@@ -69,7 +69,7 @@ REGIONS = f"""{PLACED}, s AS (SELECT *, regexp_matches(text, '^\\s*-{{3}}\\s*$')
   r AS (SELECT *, CASE WHEN c = 0 THEN 0 WHEN c = n THEN -1 ELSE c END AS region FROM c WHERE NOT is_sep)"""
 
 
-@query(f"{REGIONS} SELECT doc_id, node, line, CAST(region AS INTEGER) AS region FROM r")
+@query(f"{REGIONS} SELECT doc_id, node, line, CAST(region AS INTEGER) AS region FROM r", node="INTEGER", line="INTEGER")
 def separator_blocks(spark, sf_dir):
     return structure.regions(structure.sections(structure.lines(markdown(spark, sf_dir)))).select("doc_id", "node", "line", "region")
 
@@ -83,7 +83,7 @@ def separator_blocks(spark, sf_dir):
   j AS (SELECT *, sum(CASE WHEN eff IS NOT NULL AND (was IS NULL OR eff <> was OR (eff = 'table' AND above IS NULL)) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, node, region ORDER BY line ROWS UNBOUNDED PRECEDING) AS run FROM h)
 SELECT doc_id, node, region, island, first(block_type) AS block_type, count(*) AS n_lines, regexp_replace(string_agg(text, chr(10) ORDER BY line), '^\\s+|\\s+$', '', 'g') AS text
 FROM (SELECT *, CASE WHEN region > 0 THEN 1 ELSE run END AS island, CASE WHEN region > 0 THEN 'atomic_delimited' ELSE max(eff) OVER (PARTITION BY doc_id, node, region, run) END AS block_type FROM j)
-WHERE island > 0 GROUP BY ALL""".replace(", first(block_type) AS block_type", ", block_type"))
+WHERE island > 0 GROUP BY ALL""".replace(", first(block_type) AS block_type", ", block_type"), node="INTEGER", region="INTEGER", island="INTEGER")
 def line_islands(spark, sf_dir):
     typed = structure.islands(structure.regions(structure.sections(structure.lines(markdown(spark, sf_dir)))))
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
@@ -175,14 +175,14 @@ def table_parse(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", cells.alias("cells"))
 
 
-@query(f"WITH l AS ({LINES}) SELECT doc_id, ord, sha256(doc_id || '|Line|' || ord || '|0') AS chunk_id, CAST(CASE WHEN regexp_matches(text, '\\S') THEN length(text) // 4 ELSE 0 END AS INTEGER) AS token_count FROM l")
+@query(f"WITH l AS ({LINES}) SELECT doc_id, ord, sha256(doc_id || '|Line|' || ord || '|0') AS chunk_id, CAST(CASE WHEN regexp_matches(text, '\\S') THEN length(text) // 4 ELSE 0 END AS INTEGER) AS token_count FROM l", ord="INTEGER")
 def chunk_ids(spark, sf_dir):
     lines = lexical.lines_as_chunks(table(spark, sf_dir, "documents"))
     key = chunking.chunk_id(F.col("doc_id"), [F.lit("Line")], F.col("ord"), F.lit(0))
     return lines.select("doc_id", "ord", key.alias("chunk_id"), chunking.token_count(F.col("text")).alias("token_count"))
 
 
-@query("SELECT lang, source, sum(CASE WHEN regexp_matches(text, '\\S') THEN length(text) // 4 ELSE 0 END) AS tokens, count(*) AS n FROM documents GROUP BY lang, source")
+@query("SELECT lang, source, sum(CASE WHEN regexp_matches(text, '\\S') THEN length(text) // 4 ELSE 0 END) AS tokens, count(*) AS n FROM documents GROUP BY lang, source", tokens="BIGINT")
 def token_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.sum(chunking.token_count(F.col("text"))).alias("tokens"), F.count("*").alias("n"))
 
