@@ -93,6 +93,62 @@ def seeds_of(texts: list[bytes], k: int = K, window: int = WINDOW) -> tuple[np.n
     return doc, at - offset[doc], laid[at]
 
 
+def run_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every run of width words."""
+    n = len(words) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    # powers of two are doubled; the set bits of width are put together from them
+    out, have, part, size = np.zeros(len(words), np.uint64), 0, words, 1
+    while size <= width:
+        if width & size:
+            out = out[: len(words) - have - size + 1] * np.uint64(pow(int(BASE), size, 2**64)) + part[have : len(words) - size + 1]
+            have += size
+        if size * 2 <= width:
+            part = part[:-size] * np.uint64(pow(int(BASE), size, 2**64)) + part[size:]
+        size *= 2
+    return mixed(out[:n])
+
+
+def shared_runs(raw: bytes, shared: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of the runs of width words whose inner seeds are all among the shared positions.
+
+    Whether a word starts a seed is settled by the WINDOW - 1 k-mers on either side, so two texts with an equal run
+    share all the seeds that far inside it.
+    """
+    h = run_hashes(word_hashes(raw), width)
+    if not len(h):
+        return np.zeros(0, np.int64), h
+    own = seeds_of([raw])[1]
+    alone = np.zeros(len(h) + width + 1, np.int64)
+    alone[1 + np.setdiff1d(own, shared)] = 1
+    alone = np.cumsum(alone)
+    at = np.arange(len(h))
+    first, last = at + WINDOW - 1, at + max(WINDOW - 1, width - K - WINDOW + 2)
+    keep = np.flatnonzero(alone[last] == alone[first])
+    return keep, h[keep]
+
+
+def run_pieces(at: np.ndarray, source: np.ndarray, source_at: np.ndarray, width: int) -> list[tuple[int, int, int, int]]:
+    """(start, source, source start, words) of equal stretches that together hold every run of width words given.
+
+    Runs of one source and shift that follow each other are one stretch; a stretch is left out if the ones before and
+    after it hold all its words, as in a text of one repeated word, whose runs all have the same first place.
+    """
+    order = np.argsort(at, kind="stable")
+    at, source, source_at = at[order], source[order], source_at[order]
+    cuts = np.flatnonzero((np.diff(at) != 1) | (np.diff(source_at) != 1) | (source[1:] != source[:-1])) + 1
+    edges = [0, *cuts.tolist(), len(at)]
+    stretches = [(int(at[i]), int(source[i]), int(source_at[i]), int(at[j - 1] - at[i]) + width) for i, j in zip(edges[:-1], edges[1:], strict=True) if j > i]
+    out: list[tuple[int, int, int, int]] = []
+    reach = 0
+    for i, (start, src, src_start, words) in enumerate(stretches):
+        if i + 1 == len(stretches) or stretches[i + 1][0] > reach:
+            out.append((start, src, src_start, words))
+            reach = start + words
+    return out
+
+
 class MaxTree:
     """Fenwick tree of prefix maxima: the best (value, item) among ranks up to a given one."""
 
@@ -253,6 +309,83 @@ def _with_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return one.union(rows.join(several.where("not differ").select("d"), F.col("doc") == F.col("d"), "left_semi").distinct())
 
 
+def _aligned(chains: DataFrame, rows: DataFrame, min_words: int, min_identity: float) -> DataFrame:
+    """The passages that the alignments through the chains' anchors keep."""
+    spans = chains.select(F.col("doc").alias("d"), "lo", "n").union(chains.select("src", "slo", "sn")).distinct()
+    cut = F.expr(f"array_join(slice({split_words('text')}, lo + 1, n), ' ')")
+    spans = materialize(spans.join(rows, F.col("d") == F.col("doc")).select("d", "lo", "n", cut.alias("said")), "sub-spans")
+    own = spans.select(F.col("d").alias("d1"), F.col("lo").alias("lo1"), F.col("n").alias("n1"), F.col("said").alias("x"))
+    other = spans.select(F.col("d").alias("d2"), F.col("lo").alias("lo2"), F.col("n").alias("n2"), F.col("said").alias("y"))
+    both = chains.join(own, (F.col("doc") == F.col("d1")) & (F.col("lo") == F.col("lo1")) & (F.col("n") == F.col("n1")))
+    both = both.join(other, (F.col("src") == F.col("d2")) & (F.col("slo") == F.col("lo2")) & (F.col("sn") == F.col("n2")))
+    both = both.select("doc", "src", "lo", "slo", "anchors", "x", "y")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc", "start", "words", "source_id", "source_start", "source_words", "equal"]
+        for b in batches:
+            out: list[tuple] = []
+            for r in b.to_pylist():
+                x, y = r["x"].encode().lower().split(), r["y"].encode().lower().split()
+                anchors = list(zip(r["anchors"][::2], r["anchors"][1::2], strict=True))
+                for a, n, s, m, same in passages_of(align(x, y, anchors), min_words, min_identity):
+                    out.append((r["doc"], r["lo"] + a, n, r["src"], r["slo"] + s, m, same))
+            cols = list(zip(*out, strict=True)) or [[] for _ in names]
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
+    return both.mapInArrow(check, "doc long, start int, words int, source_id long, source_start int, source_words int, equal int")
+
+
+def _unfound_runs(hits: DataFrame, rows: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
+    """Chains (as find_passages() makes them) over the exact runs of min_words words that found does not hold whole."""
+    shared = hits.groupBy("doc").agg(F.collect_set("pos").alias("shared")).withColumnRenamed("doc", "d")
+    texts = rows.join(shared, F.col("doc") == F.col("d")).select("doc", "text", "shared")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, lists = np.asarray(b.column(0)), b.column(2)
+            flat, ends = np.asarray(lists.flatten()), np.cumsum(np.asarray(lists.value_lengths()))
+            for i in range(b.num_rows):
+                at, h = shared_runs(b.column(1)[i].as_py().encode().lower(), flat[ends[i - 1] if i else 0 : ends[i]], min_words)
+                head = np.zeros(len(h), bool)
+                head[np.unique(h, return_index=True)[1]] = True
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), ids[i])), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(head)], ["doc", "pos", "h", "head"])
+
+    runs = materialize(texts.mapInArrow(run, "doc long, pos int, h long, head boolean"), "sub-runs")
+    first = runs.groupBy("h").agg(F.min("doc").alias("src"), F.max("doc").alias("last"), F.min_by("pos", F.when(F.col("head"), F.col("doc"))).alias("src_pos"))
+    first = first.where("src <> last").select(F.col("h").alias("run"), "src", "src_pos")
+    links = runs.join(first, (F.col("h") == F.col("run")) & (F.col("doc") != F.col("src")))
+    links = links.groupBy("doc").agg(F.collect_list(F.struct("pos", "src", "src_pos")).alias("links"))
+    held = found.groupBy(F.col("doc").alias("d")).agg(F.collect_set(F.struct("start", "words")).alias("held"))
+    both = links.join(held, F.col("doc") == F.col("d"), "left").select("doc", "links", "held")
+
+    def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc", "src", "lo", "n", "slo", "sn", "anchors"]
+        for b in batches:
+            out: list[tuple] = []
+            ids, lists, spans = np.asarray(b.column(0)), b.column(1), b.column(2)
+            flat, ends = lists.flatten(), np.cumsum(np.asarray(lists.value_lengths()))
+            pos, src, src_pos = (np.asarray(flat.field(j)) for j in range(3))
+            for i in range(b.num_rows):
+                own = slice(ends[i - 1] if i else 0, ends[i])
+                at = pos[own].astype(np.int64)
+                bare = np.ones(int(at.max()) + min_words + 1, np.int64)
+                bare[0] = 0
+                for s in spans[i].as_py() or ():
+                    bare[s["start"] + 1 : s["start"] + s["words"] + 1] = 0
+                bare = np.cumsum(bare)
+                open_ = bare[at + min_words] > bare[at]
+                for a, of, s, words in run_pieces(at[open_], src[own][open_], src_pos[own][open_].astype(np.int64), min_words):
+                    lo, slo = max(0, a - FLANK), max(0, s - FLANK)
+                    steps = [*range(0, words - K, K), words - K]
+                    out.append((ids[i], of, lo, a + words + FLANK - lo, slo, s + words + FLANK - slo, [v for j in steps for v in (a + j - lo, s + j - slo)]))
+            cols = list(zip(*out, strict=True)) or [[] for _ in names]
+            types = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
+    return both.mapInArrow(leave, "doc long, src long, lo int, n int, slo int, sn int, anchors array<int>")
+
+
 def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> DataFrame:
     """Passages of documents that repeat, exactly or nearly, a passage of a document with a smaller id.
 
@@ -261,7 +394,10 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     at least min_identity of the alignment's columns equal.  Passages from different sources may overlap.
 
     Each seed is matched with its first occurrence alone (smallest id), so a passage that a third of the documents
-    share gives a match for each of them, not for each pair.  Null ids, null texts, and ids that come with different
+    share gives a match for each of them, not for each pair.  As the seeds of a passage may so be dealt to several
+    sources, every run of min_words words that has only shared seeds is matched with its own first occurrence too:
+    every word of a run that an earlier document holds exactly is in a passage.  Passages that only their runs find
+    may overlap others of the same source.  Null ids, null texts, and ids that come with different
     texts take no part; a row that repeats another wholly counts once.  Texts without a word have no passage.  Other
     columns are not read.  An empty table gives an empty result.
     """
@@ -287,8 +423,9 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     seeds = materialize(rows.mapInArrow(seed, "doc long, pos int, h long, head boolean"), "sub-seeds")
     heads = seeds.groupBy("h").agg(F.min("doc").alias("src"), F.max("doc").alias("last"), F.min_by("pos", F.when(F.col("head"), F.col("doc"))).alias("src_pos"))
     heads = materialize(heads.where("src <> last").select(F.col("h").alias("seed"), "src", "src_pos"), "sub-heads")
-    matches = seeds.join(heads, (F.col("h") == F.col("seed")) & (F.col("doc") != F.col("src"))).select("doc", "src", "pos", "src_pos")
-    pairs = matches.groupBy("doc", "src").agg(F.count("*").alias("n"), F.collect_list(F.struct("pos", "src_pos")).alias("m")).where("n > 1").select("doc", "src", "m")
+    hits = materialize(seeds.join(heads, F.col("h") == F.col("seed")).select("doc", "src", "pos", "src_pos"), "sub-hits")
+    discard(seeds, heads)
+    pairs = hits.where("doc <> src").groupBy("doc", "src").agg(F.count("*").alias("n"), F.collect_list(F.struct("pos", "src_pos")).alias("m")).where("n > 1").select("doc", "src", "m")
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc", "src", "lo", "n", "slo", "sn", "anchors"]
@@ -312,31 +449,10 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
     chains = materialize(pairs.mapInArrow(chain, "doc long, src long, lo int, n int, slo int, sn int, anchors array<int>"), "sub-chains")
-    discard(seeds, heads)
-    spans = chains.select(F.col("doc").alias("d"), "lo", "n").union(chains.select("src", "slo", "sn")).distinct()
-    cut = F.expr(f"array_join(slice({split_words('text')}, lo + 1, n), ' ')")
-    spans = materialize(spans.join(rows, F.col("d") == F.col("doc")).select("d", "lo", "n", cut.alias("said")), "sub-spans")
-    own = spans.select(F.col("d").alias("d1"), F.col("lo").alias("lo1"), F.col("n").alias("n1"), F.col("said").alias("x"))
-    other = spans.select(F.col("d").alias("d2"), F.col("lo").alias("lo2"), F.col("n").alias("n2"), F.col("said").alias("y"))
-    both = chains.join(own, (F.col("doc") == F.col("d1")) & (F.col("lo") == F.col("lo1")) & (F.col("n") == F.col("n1")))
-    both = both.join(other, (F.col("src") == F.col("d2")) & (F.col("slo") == F.col("lo2")) & (F.col("sn") == F.col("n2")))
-    both = both.select("doc", "src", "lo", "slo", "anchors", "x", "y")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "start", "words", "source_id", "source_start", "source_words", "equal"]
-        for b in batches:
-            out: list[tuple] = []
-            for r in b.to_pylist():
-                x, y = r["x"].encode().lower().split(), r["y"].encode().lower().split()
-                anchors = list(zip(r["anchors"][::2], r["anchors"][1::2], strict=True))
-                for a, n, s, m, same in passages_of(align(x, y, anchors), min_words, min_identity):
-                    out.append((r["doc"], r["lo"] + a, n, r["src"], r["slo"] + s, m, same))
-            cols = list(zip(*out, strict=True)) or [[] for _ in names]
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
-
-    found = both.mapInArrow(check, "doc long, start int, words int, source_id long, source_start int, source_words int, equal int")
-    return found.distinct().withColumnRenamed("doc", id_col)
+    found = materialize(_aligned(chains, rows, min_words, min_identity), "sub-found")
+    rest = materialize(_unfound_runs(hits, rows, found, min_words), "sub-rest")
+    discard(hits)
+    return found.union(_aligned(rest, rows, min_words, min_identity)).distinct().withColumnRenamed("doc", id_col)
 
 
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:

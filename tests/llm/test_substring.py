@@ -1,6 +1,8 @@
 import random
 
-from quarrymill.llm.substring import MaxTree, align, chains_of, cut_repeats, cut_spans, find_passages, passages_of, seeds_of
+import numpy as np
+
+from quarrymill.llm.substring import MaxTree, align, chains_of, cut_repeats, cut_spans, find_passages, passages_of, run_hashes, run_pieces, seeds_of, word_hashes
 
 
 def words(rng, n):
@@ -148,3 +150,35 @@ def test_equal_runs_share_a_seed():
         texts = [" ".join(words(rng, rng.randint(0, 30)) + run + words(rng, rng.randint(0, 30))).encode() for _ in range(2)]
         doc, _, h = seeds_of(texts)
         assert set(h[doc == 0].tolist()) & set(h[doc == 1].tolist())
+
+
+def test_exact_passage_of_known_pieces(spark):
+    rng = random.Random(7)
+    rows = []
+    for parts, size in ((2, 30), (3, 20)):
+        for _ in range(30):
+            stock = [words(rng, size) for _ in range(parts)]
+            texts = [words(rng, 40) + s + words(rng, 40) for s in stock] + [words(rng, 30) + sum(stock, []) + words(rng, 30) for _ in range(2)]
+            rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate(texts)]
+    want, got = brute_exact(rows), marked(find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert len(want) == 60
+    assert not {d: len(w - got.get(d, set())) for d, w in want.items() if not w <= got.get(d, set())}
+
+
+def test_run_hashes_and_pieces():
+    rng = random.Random(9)
+    x = word_hashes(" ".join(rng.choices("ab", k=300)).encode())
+    for width in (1, 2, 3, 16, 50, 63, 300):
+        h = run_hashes(x, width).tolist()
+        runs = [tuple(x[i : i + width].tolist()) for i in range(len(x) - width + 1)]
+        assert len(h) == len(runs) and len(set(zip(h, runs, strict=True))) == len(set(h)) == len(set(runs))
+    assert len(run_hashes(x, 301)) == 0
+    for _ in range(200):
+        at = np.array(sorted(rng.sample(range(200), rng.randint(1, 150))))
+        src, shift = np.array([rng.randrange(2) for _ in at]), np.array([rng.randrange(2) for _ in at])
+        held = set()
+        for a, _, _, n in run_pieces(at, src, at + shift, 20):
+            held.update(range(a, a + n))
+        assert held == {a + j for a in at.tolist() for j in range(20)}
+    same = run_pieces(np.arange(400), np.zeros(400, int), np.zeros(400, int), 50)
+    assert len(same) < 12
