@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 #: Elements whose content is never text of the page.
 DROPPED = frozenset("head title script style noscript template svg math iframe object canvas audio video button select option textarea datalist map".split())
+#: Of these, those whose content has no tags, so without an end tag it is the rest of the page.
+RAW = frozenset("script style title textarea".split())
+#: Those that may hold any element, so that only their end tag ends them where there is one.
+CLOSED_ALONE = frozenset("noscript template svg math iframe".split())
 #: Elements that hold navigation, notices, forms and the like.
 BOILERPLATE = frozenset("nav header footer aside form menu dialog fieldset address".split())
 #: Elements that start and end blocks.
@@ -42,6 +46,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:\shidden(?=[\s>=/])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none)", re.I)
+MAIN_START = re.compile(r"<(?:body|article|main)(?=[\s/>])", re.I)
+BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK))})(?=[\s/>])", re.I)
 EDGE = re.compile(r"^\W+|\W+$")
 
 SHORT, LONG = 70, 200
@@ -131,7 +137,13 @@ def blocks_of(page: str) -> list[Block]:
         if name in DROPPED:
             if not tag.endswith("/>"):
                 end = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else n
+                if end and (name in RAW or name in CLOSED_ALONE or not MAIN_START.search(page, at, end.start())):
+                    at = end.end()
+                elif name in RAW:
+                    at = n
+                elif name != "head":  # never closed: the next block ends it; what a head holds is dropped by itself
+                    block = BLOCK_TAG.search(page, at)
+                    at = block.start() if block else n
             continue
         if name in BLOCK:
             flush()

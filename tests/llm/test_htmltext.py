@@ -72,3 +72,15 @@ def test_driver_pages(spark, sf_dir):
     rows = extract(pages).collect()
     assert len(rows) == pages.count() and all(r.n_chars == len(r.text) for r in rows)
     assert all(r.text for r in rows) and not any("©" in r.text for r in rows)
+
+
+def test_dropped_elements_without_an_end_tag():
+    said = "The house that we had seen in the morning was on the other side of the river, and there was no way to it but by the old bridge."
+    article = f"<article><p>{said}</p></article>"
+    assert main_text(f"<html><head><title>The title</title><script>'<p>'</script><body>{article}</body></html>") == said
+    for name in ("button", "select", "object", "canvas", "audio", "video", "map", "datalist", "svg", "noscript"):
+        assert main_text(f"<html><body><div><{name}>Share</div>{article}</body></html>") == said, name
+        assert main_text(f"<html><body><{name}>Share{article}</body></html>") == said, name
+    assert main_text(f"<body><button>Share{article}<button>More</button></body>") == said
+    assert main_text(f"<body><noscript>{article}</noscript><article><p>{said} Yes.</p></article></body>") == said + " Yes."
+    assert main_text(f"<body>{article}<script>var a = 1; <p>{said}</p></body>") == said
