@@ -345,11 +345,17 @@ def _unfound_runs(hits: DataFrame, rows: DataFrame, found: DataFrame, min_words:
         for b in batches:
             ids, lists = np.asarray(b.column(0)), b.column(2)
             flat, ends = np.asarray(lists.flatten()), np.cumsum(np.asarray(lists.value_lengths()))
+            kept: list[tuple] = []
+            size = 0
             for i in range(b.num_rows):
                 at, h = shared_runs(b.column(1)[i].as_py().encode().lower(), flat[ends[i - 1] if i else 0 : ends[i]], min_words)
                 head = np.zeros(len(h), bool)
                 head[np.unique(h, return_index=True)[1]] = True
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), ids[i])), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(head)], ["doc", "pos", "h", "head"])
+                kept.append((np.full(len(h), ids[i]), at.astype(np.int32), h.view(np.int64), head))
+                size += len(h)
+                if size > 200_000 or i + 1 == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*kept, strict=True)], ["doc", "pos", "h", "head"])
+                    kept, size = [], 0
 
     runs = materialize(texts.mapInArrow(run, "doc long, pos int, h long, head boolean"), "sub-runs")
     first = runs.groupBy("h").agg(F.min("doc").alias("src"), F.max("doc").alias("last"), F.min_by("pos", F.when(F.col("head"), F.col("doc"))).alias("src_pos"))

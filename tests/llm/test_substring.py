@@ -182,3 +182,14 @@ def test_run_hashes_and_pieces():
         assert held == {a + j for a in at.tolist() for j in range(20)}
     same = run_pieces(np.arange(400), np.zeros(400, int), np.zeros(400, int), 50)
     assert len(same) < 12
+
+
+def test_low_variety_passages(spark):
+    rng = random.Random(10)
+    line = words(rng, 11)
+    rows = [(1, " ".join(words(rng, 30) + ["and"] * 70 + line * 8)), (2, " ".join(words(rng, 20) + ["and"] * 440 + words(rng, 20))), (3, " ".join(words(rng, 20) + line * 30 + words(rng, 20)))]
+    want, found = brute_exact(rows), find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = marked(found)
+    assert set(want) == {2, 3} and len(want[2]) == 440 and len(want[3]) == 330
+    assert all(w <= got.get(d, set()) for d, w in want.items())
+    assert all(r.equal >= 0.8 * r.words for r in found)
