@@ -18,19 +18,24 @@ def format_chats(turns: DataFrame, trained_role: str = "assistant", conv_col: st
     proper prefix of another is dropped by an anti-join; of equal conversations the smallest id stays.
     The rest is rendered turn by turn; spans are (start, length) in code points of what the trained role says.
 
-    Turns are ordered by turn (nulls first), then role and text; turns that repeat one in all three count once.
+    Turns are ordered by turn (nulls first), then role and text, both where prefixes are hashed and where turns are
+    rendered; turns that repeat one in all three count once.
     Null roles and texts are empty.  Rows without a conversation id belong to none and are left out.
     Other columns are not read.  An empty table gives an empty result.
 
     Hashes are joined after being reduced to distinct ones, so a first turn or a conversation that a third of the log
-    shares is one row there.
+    shares is one row there.  One conversation is one row of the result, so its turns meet in one task: its rendered
+    text is the only thing here that grows with a single id.
     """
     rows = turns.where(F.col(conv_col).isNotNull()).select(
         F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text")
     )
-    hashed = rows.select("conv", "turn", F.xxhash64("role", "text").alias("a"), F.xxhash64("text", F.lit(1), "role").alias("b")).distinct()
-    order = Window.partitionBy("conv").orderBy("turn", "a", "b")
-    placed = hashed.withColumn("pos", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("conv")))
+    order = Window.partitionBy("conv").orderBy("turn", "role", "text")
+    whole_conv = Window.partitionBy("conv")
+    said = rows.distinct().withColumn("pos", F.row_number().over(order)).withColumn("n", F.count("*").over(whole_conv))
+    hashed = said.select("conv", "pos", "n", F.xxhash64("role", "text").alias("a"), F.xxhash64("text", F.lit(1), "role").alias("b"))
+    placed = materialize(hashed, "chat-turns")
+    order = Window.partitionBy("conv").orderBy("pos")
     up_to = order.rowsBetween(Window.unboundedPreceding, 0)
     prefixes = placed.select(
         "conv", "pos", "n", F.bit_xor(F.xxhash64("pos", "a", "b")).over(up_to).alias("h1"), F.bit_xor(F.xxhash64("b", "a", "pos")).over(up_to).alias("h2")
@@ -40,7 +45,7 @@ def format_chats(turns: DataFrame, trained_role: str = "assistant", conv_col: st
     proper = materialize(prefixes.where("pos < n").select(F.col("pos").alias("p"), F.col("h1").alias("p1"), F.col("h2").alias("p2")).distinct(), "chat-proper")
     kept = whole.join(proper, (F.col("n") == F.col("p")) & (F.col("h1") == F.col("p1")) & (F.col("h2") == F.col("p2")), "left_anti")
     kept = materialize(kept.select(F.col("conv").alias("kept_conv"), "n"), "chat-kept")
-    discard(prefixes, whole, proper)
+    discard(placed, prefixes, whole, proper)
     said = rows.join(kept, F.col("conv") == F.col("kept_conv"), "left_semi")
     gathered = said.groupBy("conv").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("turn", "role", "text")))).alias("turns"))
     head = lambda t: F.concat(F.lit(OPEN), t["role"], F.lit("\n"))

@@ -38,3 +38,15 @@ def test_edges(spark):
     assert got.columns == ["conv_id", "n_turns", "text", "spans"]
     assert sorted((r.conv_id, r.n_turns, r.text) for r in got.collect()) == brute(rows)
     assert format_chats(turns.limit(0)).count() == 0
+
+
+def test_ties_of_a_turn_number(spark):
+    """A turn number that both roles share: whether one log continues another is decided by role and text, as rendered."""
+    rows = []
+    for i in range(12):
+        rows += [(2 * i, 0, "user", f"question {i}"), (2 * i + 1, 0, "user", f"question {i}"), (2 * i + 1, 0, "assistant", f"answer {i}")]
+    rows += [(100, 0, "tool", "a"), (101, 0, "tool", "a"), (101, 0, "tool", "b"), (102, 0, "tool", "b")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted((r.conv_id, r.n_turns, r.text) for r in format_chats(turns).collect())
+    assert got == brute(rows)
+    assert len(got) == 26
