@@ -50,4 +50,32 @@ def test_reading_stops_early():
         exact = x @ q
         least = np.sort(exact)[-20]
         assert sorted(at.tolist()) == np.flatnonzero(exact >= least).tolist() and (scores == exact[at]).all()
-    assert lists.depths_read < 45
+    assert np.mean(lists.shares_read) < 0.9
+
+
+def test_ids_with_several_vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = [(0, rng.normal(size=3).tolist()), (0, rng.normal(size=3).tolist())] + [(i, rng.normal(size=3).tolist()) for i in range(1, 40)]
+    rows += [(40, v) for v in rng.normal(size=(60, 3)).tolist()] + [(41, rows[0][1]), (60, rows[0][1])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, top_k(vectors).collect()))
+    assert got == brute(rows)
+    assert sum(r[0] == 0 for r in got) == 40
+
+
+def test_components_beyond_floating_point(spark):
+    rows = [(0, [1e14, 1.0]), (1, [1e14, 1.5]), (2, [-1e14, 3.0]), (3, [1e300, 1.0]), (4, [0.0, -2.0])]
+    got = sorted(map(tuple, top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    exact = 64 * 10**14 * 64 * 10**14 + 64 * 96
+    hold = lambda s: max(-(2**63), min(2**63 - 1, s))
+    assert got == [(0, 1, 1, hold(exact)), (0, 2, 4, -128 * 64), (0, 3, 2, hold(-(64 * 10**14) ** 2 + 64 * 192))]
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(4)
+    x = np.floor(64 * rng.normal(size=(700, 9)))
+    q = np.floor(64 * rng.normal(size=(30, 9)))
+    lists, exact = SortedLists(x), x @ q.T
+    for share in (0.05, 0.2, 0.5, 0.8, 1.0):
+        low, high = lists.bounds(q, share)
+        assert (low <= exact + 1e-6).all() and (high >= exact - 1e-6).all()
