@@ -1,9 +1,9 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
 
-from quarrymill.llm import sharding
 from quarrymill.llm.sharding import assign_shards, schedule, write_shards
 
 
@@ -45,12 +45,16 @@ def test_matches_brute_force(spark, sf_dir):
     assert check(rows, assign_shards(docs, 40).collect(), 40) == brute(rows, 40)
 
 
-def test_bundles_stay_near_equal(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "ITEMS_PER_SHARD", 64)
+def test_larger_table_matches_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    loads = check(rows, assign_shards(docs, 4).collect(), 4)
-    assert loads[-1] - loads[0] < 0.02 * loads[0]
+    assert check(rows, assign_shards(docs.repartition(7), 4).collect(), 4) == brute(rows, 4)
+
+
+def test_many_groups_of_one_size(spark):
+    rows = [(i, f"{i:06d}") for i in range(3000)] + [(9000 + i, "copies " * 9) for i in range(500)] + [(8000 + i, f"{i:03d}") for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert check(rows, assign_shards(docs, 7).collect(), 7) == brute(rows, 7)
 
 
 def test_edges(spark):
@@ -63,8 +67,21 @@ def test_edges(spark):
         assign_shards(docs, 0)
 
 
-def test_schedule_breaks_ties_by_name():
-    assert schedule([("b", 5), ("a", 5), ("c", 7)], 2) == {"c": 0, "a": 1, "b": 1}
+def test_schedule_by_runs():
+    """Dealing a run at once gives each shard as many as dealing its items one by one."""
+    rng = random.Random(5)
+    for _ in range(200):
+        shards = rng.randint(1, 6)
+        runs = list({rng.randint(1, 40): rng.randint(1, 90) for _ in range(rng.randint(0, 12))}.items())
+        load = [0] * shards
+        for size, count, (got, to, upto) in zip(*map(list, zip(*sorted(runs, reverse=True), strict=True)), schedule(runs, shards), strict=True) if runs else []:
+            want = [0] * shards
+            for _ in range(count):
+                s = load.index(min(load))
+                load[s] += size
+                want[s] += 1
+            assert got == size and upto[-1] == count
+            assert {s: n for s, n in enumerate(want) if n} == {s: b - a for s, a, b in zip(to, [0, *upto], upto, strict=False)}
 
 
 def test_writes_folders(spark, sf_dir, tmp_path):
