@@ -39,6 +39,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df in as many partitions as a shuffle has, for a step that makes many rows of each."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes tables made by materialize() that no lazy plan reads any more."""
     for df in frames:

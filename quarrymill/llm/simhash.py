@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import connected_components, discard, materialize
+from quarrymill.llm.common import connected_components, discard, materialize, spread
+from quarrymill.llm.words import mixed, run_hashes, word_hashes
 
 SEED = 42
 LANES = np.uint64(0x0101010101010101)
@@ -82,46 +83,77 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, fp long")
 
 
-def _variants(nodes: DataFrame, set_bit: bool | None) -> DataFrame:
-    """Signatures of one-wildcard segments: (seg, hole, key, node, label).
+SEGMENT = 32
 
-    A fingerprint is cut into two segments of 32 bits, of which one differs by at most one bit if the whole differs by
-    at most three.  hole is the wildcard's place; set_bit picks the fingerprints with or without that bit, so that a
-    pair meets once for each segment; None gives the segments without a wildcard, for those that agree.
+
+def variants(nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """(key, node): one-wildcard signatures of the nodes' fingerprints, each a long of columns cut into two segments.
+
+    key: which segment, where its wildcard is, and the segment without that bit.  Of two segments, one differs by
+    at most one bit if 64 bits differ by at most three; then the two fingerprints share a signature.
     """
-    cut = nodes.select("node", "label", F.expr("node.fp & 4294967295L").alias("h0"), F.expr("shiftrightunsigned(node.fp, 32)").alias("h1"))
-    if set_bit is None:
-        parts = [f"array(named_struct('seg', {s}, 'hole', -1, 'key', h{s}))" for s in (0, 1)]
-    else:
-        parts = [f"transform(filter(sequence(0, 31), b -> getbit(h{s}, b) = {int(set_bit)}), b -> named_struct('seg', {s}, 'hole', b, 'key', h{s} & ~shiftleft(1L, b)))" for s in (0, 1)]
-    return cut.select("node", "label", F.explode(F.expr(f"concat({', '.join(parts)})")).alias("v")).select("v.seg", "v.hole", "v.key", "node", "label")
+    parts = ", ".join(f"{c} & 4294967295L, shiftrightunsigned({c}, 32)" for c in columns)
+    n = 2 * len(columns) * SEGMENT
+    cut = spread(nodes, "node").select("node", F.expr(f"array({parts})").alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("v"))
+    key = f"shiftleft(cast(v AS bigint), 32) | (element_at(parts, cast(v div {SEGMENT} AS int) + 1) & ~shiftleft(1L, v % {SEGMENT}))"
+    return cut.select(F.expr(key).alias("key"), "node")
 
 
-def _one_bit_labels(nodes: DataFrame) -> DataFrame:
-    """(tied, label): nodes with a smaller one that equals them but for one wildcard bit, and the smallest such; linear in the rows."""
-    holes = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("hole"))
-    keyed = holes.withColumn("key", F.expr("node.fp & ~shiftleft(1L, hole)"))
-    # two fingerprints at most share (hole, key), so the group's minimum and maximum are its members
-    pairs = keyed.groupBy("hole", "key").agg(F.min("node").alias("label"), F.max("node").alias("tied")).where("label <> tied")
-    return pairs.groupBy("tied").agg(F.min("label").alias("label"))
+def _labelled(df: DataFrame, labels: DataFrame | None, *names: str) -> DataFrame:
+    """df with l_<name>: the component of the node in that column so far."""
+    for name in names:
+        if labels is None:
+            df = df.withColumn(f"l_{name}", F.col(name))
+        else:
+            own = labels.select(F.col("node").alias(f"n_{name}"), F.col("component").alias(f"c_{name}"))
+            df = df.join(own, F.col(name) == F.col(f"n_{name}"), "left").withColumn(f"l_{name}", F.coalesce(f"c_{name}", name)).drop(f"n_{name}", f"c_{name}")
+    return df
 
 
-def near_links(nodes: DataFrame, max_bits: int = 3) -> DataFrame:
-    """Pairs (a, b) of nodes at max_bits (at most 3) or fewer differing bits whose labels differ.
+def linked(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame | None, list[DataFrame]]:
+    """(node, component) of all nodes that a link joins, without emitting the pairs of large groups; and tables it reads.
 
-    nodes: (node with its fp, label).  Nodes of one label are one bit or none from it, so pairs of them are left out.
+    keyed: (key, node), nodes being longs; a link is a pair with a common key that verify keeps.  verify takes pairs
+    (a, b) and may be asked for one again.  Three rounds, each leaving out pairs that the links found so far join:
+    each node with the least of its buckets' smallest nodes; each bucket's nodes with its smallest; all pairs of
+    buckets that still hold several components.  A large group of near copies is one component after the
+    first two, which are linear; what is left pairs by pairs are nodes that none of them links.  No pair is lost: one
+    that shares a key is either joined already or compared.
     """
-    if not 0 <= max_bits <= 3:
-        raise ValueError("two segments with one wildcard find at most three differing bits")
-    same = _variants(nodes, None)
-    sides = [(same, same), (_variants(nodes, False), _variants(nodes, True))]
-    found = []
-    for left, right in sides:
-        x, y = left.alias("x"), right.alias("y")
-        met = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("seg", "hole", "key")]
-        close = F.bit_count(F.col("x.node.fp").bitwiseXOR(F.col("y.node.fp"))) <= max_bits
-        found.append(x.join(y, [*met, F.col("x.label") != F.col("y.label"), close]).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-    return found[0].where("a < b").union(found[1])
+    buckets = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most")).where("n > 1 AND least <> most"), "near-buckets")
+    crowds = buckets.where("n > 2").select(F.col("key").alias("k"), "least")
+    members = materialize(keyed.join(crowds, F.col("key") == F.col("k")).select("key", "node", "least"), "near-members")
+    twos = buckets.where("n = 2").select(F.col("least").alias("a"), F.col("most").alias("b"))
+    stars = materialize(twos.union(members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))).distinct(), "near-stars")
+    labels, used = None, [members]
+    for round_ in range(3):
+        if round_ == 0:
+            pairs = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        elif round_ == 1:
+            pairs = _labelled(stars, labels, "a", "b").where("l_a <> l_b").select("a", "b")
+        else:
+            own = _labelled(members, labels, "node").select("key", "node", F.col("l_node").alias("label"))
+            own = materialize(own, "near-own")
+            several = own.groupBy(F.col("key").alias("k")).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("k")
+            apart = materialize(own.join(several, F.col("key") == F.col("k"), "left_semi"), "near-mixed")
+            x, y = apart.alias("x"), apart.alias("y")
+            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+            used += [own, apart]
+        found = materialize(verify(pairs), "near-found")
+        ends = _labelled(found, labels, "a", "b").select(F.col("l_a").alias("a"), F.col("l_b").alias("b"))
+        roots = connected_components(ends, "a", "b")
+        if labels is None:
+            nxt = roots
+        else:
+            moved = roots.select(F.col("node").alias("was"), F.col("component").alias("root"))
+            old = labels.join(moved, F.col("component") == F.col("was"), "left").select("node", F.coalesce("root", "component").alias("component"))
+            fresh = roots.join(labels.select(F.col("node").alias("known")), F.col("node") == F.col("known"), "left_anti")
+            nxt = old.union(fresh)
+        labels = materialize(nxt.distinct(), "near-labels")
+        used += [found, labels]
+        if round_ == 0:
+            used += [stars, buckets]
+    return labels, used
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 3) -> DataFrame:
@@ -132,37 +164,114 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stay, each with its component.  A null id gets the component of its fingerprint (null if all of it is null).
     Other columns of docs, whatever their names, are not read.  An empty table gives an empty result.
 
-    Rows with one fingerprint are one node, ordered by its smallest id.  Nodes one bit from a common smallest one share
-    its label, by grouping; only pairs of different labels then come from the signature join, so a large group of near
-    copies does not emit its pairs.
+    Rows with one fingerprint are one node; see linked() for what keeps large groups from emitting their pairs.
     """
+    if not 0 <= max_bits <= 3:
+        raise ValueError("two segments with one wildcard find at most three differing bits")
     fps = materialize(fingerprints(docs, id_col, text_col, width), "simhash")
-    distinct = fps.groupBy("fp").agg(F.min("id").alias("rep"))
-    nodes = materialize(distinct.select(F.struct(F.col("rep").isNull().alias("none"), F.coalesce("rep", F.lit(0)).alias("rep"), "fp").alias("node")), "simhash-nodes")
-    if max_bits:
-        labels = materialize(_one_bit_labels(nodes), "simhash-labels")
-        labelled = nodes.join(labels, F.col("node") == F.col("tied"), "left").select("node", F.coalesce("label", "node").alias("label"))
-        labelled = materialize(labelled, "simhash-labelled")
-        edges = near_links(labelled, max_bits).union(labels.select("tied", "label"))
-    else:
-        labels = labelled = nodes.withColumn("label", F.col("node"))
-        edges = near_links(labelled, 0)
-    roots = connected_components(materialize(edges, "simhash-links"), "a", "b").withColumnRenamed("node", "member")
-    root = F.coalesce("component", F.col("node"))
-    named = nodes.join(roots, F.col("node") == F.col("member"), "left").select(F.col("node.fp").alias("fp_"), F.when(~root["none"], root["rep"]).alias("component_id"))
-    named = materialize(named, "simhash-named")
-    discard(labels, labelled, nodes)
+    nodes = materialize(fps.groupBy(F.col("fp").alias("node")).agg(F.min("id").alias("rep")), "simhash-nodes")
+    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
+    labels, used = linked(variants(nodes.withColumn("fp0", F.col("node")), ["fp0"]), lambda pairs: pairs.where(close))
+    named = nodes.join(labels.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("node", "rep", F.coalesce("component", "node").alias("root"))
+    least = named.groupBy(F.col("root").alias("root_")).agg(F.min("rep").alias("component_id"))
+    named = materialize(named.join(least, F.col("root") == F.col("root_")).select(F.col("node").alias("fp_"), "component_id"), "simhash-named")
+    discard(nodes, *used)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return fps.join(named, F.col("fp") == F.col("fp_")).select(F.col("id").alias(id_col), "fp", hexed, "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 3) -> DataFrame:
-    """docs without the rows that are near copies: of each component the row with the smallest id stays.
+def word_sketches(texts: list[str | None]) -> np.ndarray:
+    """Three fingerprints (a row each) of the set of words of every text; A-Z lower-cased."""
+    out: list[np.ndarray] = []
+    held: list[np.ndarray] = []
+    size = 0
+    for i, text in enumerate(texts):
+        held.append(np.unique(word_hashes(text.encode().lower())) if text else np.zeros(0, np.uint64))
+        size += len(held[-1])
+        if size > 500_000 or i + 1 == len(texts):
+            sizes, all_ = np.array([len(h) for h in held]), np.concatenate(held)
+            out.append(np.stack([majority_bits(mixed(all_ * np.uint64(m) + np.uint64(m >> 7)), sizes) for m in MULTIPLIERS], axis=1))
+            held, size = [], 0
+    return np.concatenate(out) if out else np.zeros((0, len(MULTIPLIERS)), np.uint64)
+
+
+MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+#: Of the 192 bits of three fingerprints; far above what texts of similarity 0.8 differ by (about 20).
+MOST_BITS = 48
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, digest, component_id): one row for each row of docs with a word.
+
+    Texts link if the Jaccard similarity of their sets of word shingles (A-Z lower-cased; fewer words: the whole sequence)
+    is at least similarity; component_id is the smallest id reachable, null if all ids of the component are null.
+
+    Candidates come from three 64-bit fingerprints over the set of words, cut into six segments: texts meet if one of them
+    agrees but for one bit.  A changed word alters one member of that set but five shingles, so near copies
+    differ in fewer bits than fingerprints of shingles would; every candidate is then verified on its shingles.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = word_sketches(b.column(2).to_pylist()).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(bits[:, i], pa.int64()) for i in range(3))], ["id", "digest", "fp0", "fp1", "fp2"])
+
+    text = F.col(text_col)
+    worded = docs.where(text.rlike(r"[^\x20\x09-\x0D]")).select(F.col(id_col).alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), text.alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = materialize(worded.select("id", "digest", "text").mapInArrow(run, f"id {kind}, digest binary, fp0 long, fp1 long, fp2 long"), "copies-rows")
+    fps = ["fp0", "fp1", "fp2"]
+    nodes = rows.groupBy("digest").agg(F.min("id").alias("rep"), *[F.min(c).alias(c) for c in fps])
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "copies-nodes")
+    bits = nodes.select("node", *fps)
+    kept: list[DataFrame] = []
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            own = bits.select(F.col("node").alias(f"n_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in fps])
+            pairs = pairs.join(own, F.col(side) == F.col(f"n_{side}"))
+        apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in fps), F.lit(0))
+        near = materialize(pairs.where(apart <= MOST_BITS).select("a", "b"), "copies-pairs")
+        needed = near.select(F.col("a").alias("need")).union(near.select("b")).distinct()
+        needed = materialize(nodes.join(needed, F.col("node") == F.col("need"), "left_semi").select("node", F.col("rep").alias("rep_"), F.col("digest").alias("digest_")), "copies-needed")
+        said = worded.join(needed, F.col("id").eqNullSafe(F.col("rep_")) & (F.col("digest") == F.col("digest_"))).select("node", "text")
+        sets = materialize(said.mapInArrow(_shingle_sets(width), "node long, shingles array<long>").dropDuplicates(["node"]), "copies-sets")
+        for side in ("a", "b"):
+            near_ = near if side == "a" else both
+            both = near_.join(sets.select(F.col("node").alias(f"n_{side}"), F.col("shingles").alias(f"s_{side}")), F.col(side) == F.col(f"n_{side}"))
+        common = F.size(F.array_intersect("s_a", "s_b"))
+        kept.extend([near, needed, sets])
+        return both.where(common >= F.lit(similarity) * (F.size("s_a") + F.size("s_b") - common)).select("a", "b")
+
+    labels, used = linked(variants(bits, fps), verify)
+    named = nodes.join(labels.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("digest", "rep", F.coalesce("component", "node").alias("root"))
+    least = named.groupBy(F.col("root").alias("root_")).agg(F.min("rep").alias("component_id"))
+    named = materialize(named.join(least, F.col("root") == F.col("root_")).select(F.col("digest").alias("of"), "component_id"), "copies-named")
+    discard(nodes, *used, *kept)
+    return rows.join(named, F.col("digest") == F.col("of")).select("id", "digest", "component_id")
+
+
+def _shingle_sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = []
+            for text in b.column(1).to_pylist():
+                words = word_hashes(text.encode().lower())
+                sets.append(np.unique(run_hashes(words, min(width, len(words)))).view(np.int64))
+            ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, flat)], ["node", "shingles"])
+
+    return run
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without the rows that are near copies: of each component of near_copies() the row with the smallest id stays.
 
-    Rows with a null id, rows without any word and rows that repeat the smallest id itself stay.
+    Rows with a null id, rows without any word (null and empty texts) and rows that repeat the smallest id itself stay.
+    Ties and extra columns change nothing; an empty table gives an empty result.
     """
-    found = near_duplicates(docs, id_col, text_col, width, max_bits)
-    gone = materialize(found.where(F.col(id_col).isNotNull() & (F.col(id_col) != F.col("component_id"))).select(F.col(id_col).alias("gone_id")).distinct(), "simhash-gone")
-    wordless = ~F.coalesce(docs[text_col], F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = docs.join(gone, (docs[id_col] == gone["gone_id"]) & ~wordless, "left_anti")
-    return kept
+    found = near_copies(docs, id_col, text_col, width, similarity)
+    gone = materialize(found.where("id IS NOT NULL AND id <> component_id").select(F.col("id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct(), "copies-gone")
+    same = (docs[id_col] == gone["gone_id"]) & (F.unhex(F.md5(docs[text_col].cast("binary"))) == gone["gone_digest"])
+    return docs.join(gone, same, "left_anti")

@@ -1,9 +1,11 @@
+import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 
-from quarrymill.llm.simhash import drop_near_duplicates, near_duplicates
+from quarrymill.llm.simhash import drop_near_duplicates, near_copies, near_duplicates, word_sketches
 
 
 def brute(rows):
@@ -47,7 +49,9 @@ def test_edges(spark):
     assert sorted(map(tuple, got), key=str) == brute(rows)
     kept = drop_near_duplicates(docs)
     assert kept.columns == docs.columns
+    # 10 differs from 8 by one shingle
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([9, 3, 4, 5, 7, None, 8, 11], key=str)
+    assert drop_near_duplicates(docs.limit(0)).count() == 0
 
 
 def test_empty_table(spark):
@@ -60,3 +64,78 @@ def test_thresholds_nest(spark, sf_dir, bits):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     few = near_duplicates(docs, max_bits=bits).select("component_id").distinct().count()
     assert few >= near_duplicates(docs).select("component_id").distinct().count()
+
+
+def template_copies(rng, n, length=120, changes=3):
+    base = [f"w{rng.randrange(4000)}" for _ in range(length)]
+    rows = []
+    for i in range(n):
+        own = base[:]
+        for j in rng.sample(range(length), changes):
+            own[j] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def components(n, near):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i in range(n):
+        for j in near(i):
+            a, b = find(i), find(int(j))
+            root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def test_large_group_of_near_copies(spark):
+    rows = template_copies(random.Random(4), 2500) + [(2500 + i, t) for i, t in template_copies(random.Random(5), 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in near_duplicates(docs).collect()}
+    fp = np.array([got[i][0] for i in range(len(rows))], np.uint64)
+    want = components(len(rows), lambda i: np.flatnonzero(np.bitwise_count(fp[i] ^ fp[:i]) <= 3))
+    assert [got[i][1] for i in range(len(rows))] == want
+    assert max(map(want.count, set(want))) > 500
+
+
+def shingles(text, width=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def brute_copies(rows, least=0.8):
+    sets = [shingles(t or "") for _, t in rows]
+    similar = lambda i: [j for j in range(i) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
+    return components(len(rows), similar)
+
+
+def test_near_copies_against_brute_force(spark):
+    """Every link found is one, and nine of ten copies with a few changed words are found; all where copies are many."""
+    rng = random.Random(6)
+    rows = []
+    for _ in range(150):  # pairs at similarity 0.8 to 1
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 400))]
+        own = base[:]
+        for j in rng.sample(range(len(own)), max(1, round(len(own) * rng.choice((0.005, 0.01, 0.02))))):
+            own[j] = "changed"
+        rows += [" ".join(base), " ".join(own)]
+    rows += [t for _, t in template_copies(rng, 200)]
+    rows = list(enumerate(rows))
+    want = brute_copies(rows)
+    got = {r.id: r.component_id for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = [i for i in range(300) if want[i] != i]
+    assert len(linked) > 120
+    assert all(got[i] == i or want[got[i]] == want[i] for i in range(len(rows)))
+    assert sum(got[i] == want[i] for i in linked) >= 0.9 * len(linked)
+    assert [got[i] for i in range(300, 500)] == want[300:]
+
+
+def test_sketches_count_words_once():
+    a, b = word_sketches(["one two three", "three ONE two one one"])
+    assert a.tolist() == b.tolist()
+    assert word_sketches([None, "", " "]).tolist() == [[0, 0, 0]] * 3
