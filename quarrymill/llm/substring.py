@@ -4,58 +4,32 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm.common import discard, free_name, materialize
+from quarrymill.llm.words import mixed, run_hashes, word_hashes
 
-#: Words of a seed; seeds are the least hashes of every WINDOW neighbours, so equal runs of K + WINDOW - 1 words share one.
-K, WINDOW = 5, 12
+#: Words of a seed; one of EVERY is taken by its hash alone, so an edit elsewhere does not change the choice, and the least of
+#: every WINDOW neighbours too, so every run of K + WINDOW - 1 words has one.
+K, EVERY, WINDOW = 4, 4, 24
 MIN_WORDS, MIN_IDENTITY = 50, 0.8
 #: Cost of each word that a chain skips on either side.
 GAP_COST = 0.1
 #: Words looked at beyond a chain's ends.
-FLANK = 40
-#: A longer stretch without a seed ends a passage.
-MAX_GAP = 40
+FLANK = 60
+#: A longer stretch without a seed ends a chain.
+MAX_GAP = 60
+#: Two seeds of a wide pair are this many words apart; each seed opens that many pairs.
+PAIR_SPAN, PAIRS = (24, 60), 3
+#: A source's slices start and end at multiples of this, so that many copies ask for the same one.
+GRID = 64
 WORD_AND_BLANKS = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
-
-BASE = np.uint64(0x9E3779B97F4A7C15)
-MIX = np.uint64(0xBF58476D1CE4E5B9)
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-BYTES = np.random.default_rng(20_240_607).integers(1, 2**63, 256, dtype=np.uint64)
-
-
-@lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(size, BASE)
-    down = np.full(size, np.uint64(pow(int(BASE), -1, 2**64)))
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * MIX
-    return h ^ (h >> np.uint64(29))
-
-
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of lower-cased bytes, from prefix sums of a polynomial."""
-    a = np.frombuffer(raw, np.uint8)
-    blank = (a == 32) | ((a >= 9) & (a <= 13))
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).astype(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(1 << max(20, (len(a) - 1).bit_length()))
-    prefix = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum(BYTES[a] * up[: len(a)], out=prefix[1:])
-    return mixed((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def _sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
@@ -68,70 +42,52 @@ def _sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(out[:-rest], out[rest:]) if rest else out
 
 
-def seeds_of(texts: list[bytes], k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text's number, word position, hash) of the seeds of lower-cased texts."""
-    per = [word_hashes(t) for t in texts]
-    n = np.array([max(0, len(p) - k + 1) for p in per])
+def seeds_of(texts: list[bytes], k: int = K, every: int = EVERY, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text's number, word position, hash, whether by the hash alone) of the seeds of lower-cased texts."""
+    per = [run_hashes(word_hashes(t), k) for t in texts]
+    n = np.array([len(p) for p in per])
     if not n.sum():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     room = n + window  # gaps keep windows within a text, where they may be cut short
     offset = window + np.concatenate(([0], np.cumsum(room)[:-1]))
     laid = np.full(int(room.sum()) + 2 * window, NONE)
     for p, at, m in zip(per, offset.tolist(), n.tolist(), strict=True):
-        if m:
-            h = p[:m].copy()
-            for j in range(1, k):
-                h = h * BASE + p[j : m + j]
-            laid[at : at + m] = np.minimum(mixed(h), NONE - np.uint64(1))
+        laid[at : at + m] = np.minimum(p, NONE - np.uint64(1))
     least = _sliding(laid, window, np.minimum)
     chosen = np.zeros(len(laid), bool)
     chosen[window - 1 : len(least)] = _sliding(least, window, np.maximum) == laid[window - 1 : len(least)]
-    chosen[1:] &= laid[1:] != laid[:-1]
+    sampled = laid % np.uint64(every) == 0
+    chosen |= sampled
+    chosen[1:-1] &= (laid[1:-1] != laid[:-2]) | (laid[1:-1] != laid[2:])  # of a run of equal ones, both ends
     chosen &= laid != NONE
     at = np.flatnonzero(chosen)
     doc = np.searchsorted(offset, at, side="right") - 1
-    return doc, at - offset[doc], laid[at]
-
-
-def run_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """A hash of every run of width words."""
-    n = len(words) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    # powers of two are doubled; the set bits of width are put together from them
-    out, have, part, size = np.zeros(len(words), np.uint64), 0, words, 1
-    while size <= width:
-        if width & size:
-            out = out[: len(words) - have - size + 1] * np.uint64(pow(int(BASE), size, 2**64)) + part[have : len(words) - size + 1]
-            have += size
-        if size * 2 <= width:
-            part = part[:-size] * np.uint64(pow(int(BASE), size, 2**64)) + part[size:]
-        size *= 2
-    return mixed(out[:n])
-
-
-def shared_runs(raw: bytes, shared: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the runs of width words whose inner seeds are all among the shared positions.
-
-    Whether a word starts a seed is settled by the WINDOW - 1 k-mers on either side, so two texts with an equal run
-    share all the seeds that far inside it.
+    return doc, at - offset[doc], laid[at], sampled[at]
+
+
+def shared_runs(words: np.ndarray, shared: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of the runs of width words whose inner seeds, of those taken by the hash alone, are all at shared positions.
+
+    Two equal runs have the same seeds of that kind, so a run that another text holds is among these.
     """
-    h = run_hashes(word_hashes(raw), width)
+    h = run_hashes(words, width)
     if not len(h):
         return np.zeros(0, np.int64), h
-    own = seeds_of([raw])[1]
-    alone = np.zeros(len(h) + width + 1, np.int64)
-    alone[1 + np.setdiff1d(own, shared)] = 1
-    alone = np.cumsum(alone)
+    kmers = np.minimum(run_hashes(words, K), NONE - np.uint64(1))
+    own = kmers % np.uint64(EVERY) == 0
+    own[1:-1] &= (kmers[1:-1] != kmers[:-2]) | (kmers[1:-1] != kmers[2:])
+    own[shared] = False
+    alone = np.concatenate(([0], np.cumsum(own)))
     at = np.arange(len(h))
-    first, last = at + WINDOW - 1, at + max(WINDOW - 1, width - K - WINDOW + 2)
-    keep = np.flatnonzero(alone[last] == alone[first])
+    keep = np.flatnonzero(alone[at + width - K + 1] == alone[at])
     return keep, h[keep]
 
 
-def run_pieces(at: np.ndarray, source: np.ndarray, source_at: np.ndarray, width: int) -> list[tuple[int, int, int, int]]:
+def run_pieces(at: np.ndarray, source: np.ndarray, source_at: np.ndarray, width: int, own: int | None = None) -> list[tuple[int, int, int, int]]:
     """(start, source, source start, words) of equal stretches that together hold every run of width words given.
 
+    own: the text's own number; a stretch that repeats the same text ends where its source would reach it.
+
     Runs of one source and shift that follow each other are one stretch; a stretch is left out if the ones before and
     after it hold all its words, as in a text of one repeated word, whose runs all have the same first place.
     """
@@ -140,6 +96,7 @@ def run_pieces(at: np.ndarray, source: np.ndarray, source_at: np.ndarray, width:
     cuts = np.flatnonzero((np.diff(at) != 1) | (np.diff(source_at) != 1) | (source[1:] != source[:-1])) + 1
     edges = [0, *cuts.tolist(), len(at)]
     stretches = [(int(at[i]), int(source[i]), int(source_at[i]), int(at[j - 1] - at[i]) + width) for i, j in zip(edges[:-1], edges[1:], strict=True) if j > i]
+    stretches = [(a, of, b, min(n, a - b) if of == own else n) for a, of, b, n in stretches]
     out: list[tuple[int, int, int, int]] = []
     reach = 0
     for i, (start, src, src_start, words) in enumerate(stretches):
@@ -149,6 +106,28 @@ def run_pieces(at: np.ndarray, source: np.ndarray, source_at: np.ndarray, width:
     return out
 
 
+def wide_pairs(pos: np.ndarray, h: np.ndarray, src: np.ndarray, doc: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, position, second position) of pairs of a text's shared seeds, some words apart, whose first holders differ.
+
+    Where a passage's seeds first occur in several texts that hold pieces of it, no single seed leads to a text
+    that holds it whole; a pair of seeds from two pieces does.
+    """
+    order = np.argsort(pos, kind="stable")
+    pos, h, src = pos[order].astype(np.int64), h[order], src[order]
+    first = np.searchsorted(pos, pos + PAIR_SPAN[0])
+    keys, one, two = [], [], []
+    for step in range(PAIRS):
+        j = first + step
+        ok = j < len(pos)
+        i, j = np.flatnonzero(ok), j[ok]
+        ok = (pos[j] - pos[i] <= PAIR_SPAN[1]) & (src[i] != src[j]) & (src[i] != doc) & (src[j] != doc)
+        i, j = i[ok], j[ok]
+        keys.append(mixed(h[i] * np.uint64(3) + mixed(h[j])))
+        one.append(pos[i])
+        two.append(pos[j])
+    return np.concatenate(keys), np.concatenate(one), np.concatenate(two)
+
+
 class MaxTree:
     """Fenwick tree of prefix maxima: the best (value, item) among ranks up to a given one."""
 
@@ -213,107 +192,252 @@ def chains_of(matches: list[tuple[int, int]], k: int = K, gap_cost: float = GAP_
     return [c for c in found if len(c) > 1]
 
 
-def _edit_runs(x: list, y: list) -> list[tuple[bool, int, int]]:
-    """Global alignment of two short word lists by least edits: columns (equal, words of x, words of y)."""
-    n, m = len(x), len(y)
-    cost = [list(range(m + 1))]
-    for i in range(1, n + 1):
-        row = [i]
-        above = cost[-1]
-        for j in range(1, m + 1):
-            row.append(min(above[j - 1] + (x[i - 1] != y[j - 1]), above[j] + 1, row[-1] + 1))
-        cost.append(row)
-    out, i, j = [], n, m
-    while i or j:
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + (x[i - 1] != y[j - 1]):
-            out.append((x[i - 1] == y[j - 1], 1, 1))
+def edit_columns(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[list[tuple[bool, int, int]]]:
+    """Global alignments by least edits of pairs of word lists: columns (equal, words of the first, words of the second).
+
+    Pairs of about one size share the rows of one table; within a row, insertions are a running minimum.
+    """
+    out: list[list[tuple[bool, int, int]]] = [[] for _ in pairs]
+    sized: dict[tuple[int, int], list[int]] = {}
+    for i, (x, y) in enumerate(pairs):
+        if not len(x) or not len(y):
+            out[i] = [(False, 1, 0)] * len(x) + [(False, 0, 1)] * len(y)
+        elif len(x) == len(y) and (x == y).all():
+            out[i] = [(True, len(x), len(x))]
+        else:
+            sized.setdefault((-(-len(x) // 16) * 16, -(-len(y) // 16) * 16), []).append(i)
+    for (n, m), members in sized.items():
+        step = max(1, 8_000_000 // ((n + 1) * (m + 1)))
+        for begin in range(0, len(members), step):
+            some = members[begin : begin + step]
+            xs, ys = np.zeros((len(some), n), np.uint64), np.zeros((len(some), m), np.uint64)
+            for row, i in enumerate(some):
+                xs[row, : len(pairs[i][0])], ys[row, : len(pairs[i][1])] = pairs[i]
+            steps = np.arange(m + 1, dtype=np.int32)
+            cost = np.empty((len(some), n + 1, m + 1), np.int32)
+            cost[:, 0] = steps
+            for r in range(1, n + 1):
+                above, row = cost[:, r - 1], cost[:, r]
+                row[:, 0] = r
+                np.minimum(above[:, :-1] + (xs[:, r - 1, None] != ys), above[:, 1:] + 1, out=row[:, 1:])
+                row -= steps
+                np.minimum.accumulate(row, axis=1, out=row)
+                row += steps
+            for row, i in enumerate(some):
+                out[i] = _walk_back(cost[row, : len(pairs[i][0]) + 1, : len(pairs[i][1]) + 1].tolist(), pairs[i][0].tolist(), pairs[i][1].tolist())
+    return out
+
+
+def _walk_back(cost: list[list[int]], x: list[int], y: list[int]) -> list[tuple[bool, int, int]]:
+    out, i, j = [], len(x), len(y)
+    while i and j:
+        here = cost[i][j]
+        same = x[i - 1] == y[j - 1]
+        if here == cost[i - 1][j - 1] + (not same):
+            out.append((same, 1, 1))
             i, j = i - 1, j - 1
-        elif i and cost[i][j] == cost[i - 1][j] + 1:
+        elif here == cost[i - 1][j] + 1:
             out.append((False, 1, 0))
             i -= 1
         else:
             out.append((False, 0, 1))
             j -= 1
+    out += [(False, 1, 0)] * i + [(False, 0, 1)] * j
     return out[::-1]
 
 
-def align(text: list, source: list, anchors: list[tuple[int, int]], k: int = K) -> list[tuple[bool, int, int]]:
-    """Columns of the alignment of the whole of both lists through the anchors (positions of equal runs of k words)."""
-    out: list[tuple[bool, int, int]] = []
-    at = bt = 0
-
-    def between(a: int, b: int) -> None:
-        x, y = text[at:a], source[bt:b]
-        if x == y:
-            out.extend([(True, len(x), len(y))] if x else [])
-        elif len(x) * len(y) > 20_000:
-            out.append((False, len(x), len(y)))
-        else:
-            out.extend(_edit_runs(x, y))
-
-    for a, b in anchors:
-        skip = max(0, at - a, bt - b)  # of an anchor that overlaps the one before, only the rest counts
-        if skip < k:
-            between(a + skip, b + skip)
-            out.append((True, k - skip, k - skip))
-            at, bt = a + k, b + k
-    between(len(text), len(source))
-    return out
+def align(tasks: list[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]], k: int = K) -> list[list[tuple[bool, int, int]]]:
+    """For each (text, source, anchors: positions of equal runs of k words): columns of the alignment of both wholes through the anchors."""
+    gaps: list[tuple[np.ndarray, np.ndarray]] = []
+    plans: list[list] = []
+    for x, y, anchors in tasks:
+        plan: list = []  # numbers of gaps, and (True, n, n) for anchors
+        at = bt = 0
+        for a, b in [*anchors, (len(x), len(y))]:
+            end = (a, b) == (len(x), len(y))
+            skip = 0 if end else max(0, at - a, bt - b)  # of an anchor that overlaps the one before, only the rest counts
+            if skip < k:
+                if a + skip > at or b + skip > bt:
+                    plan.append(len(gaps))
+                    gaps.append((x[at : a + skip], y[bt : b + skip]))
+                if not end:
+                    plan.append((True, k - skip, k - skip))
+                    at, bt = a + k, b + k
+        plans.append(plan)
+    done = edit_columns(gaps)
+    return [[c for p in plan for c in (done[p] if isinstance(p, int) else [p])] for plan in plans]
+
+
+def hopeful(x: np.ndarray, y: np.ndarray, min_words: int, min_identity: float) -> bool:
+    """Whether enough words of some stretch of x occur in y at all.  Never false where a passage is: of a stretch of identity i
+    and at least min_words words, some window of min_words has at least (2 i - 1) + (1 - i) / 2 of its words in y."""
+    if len(x) < min_words:
+        return False
+    have = np.concatenate(([0], np.cumsum(np.isin(x, y))))
+    return int((have[min_words:] - have[:-min_words]).max()) >= min_words * (min_identity - (1 - min_identity) / 2)
 
 
 def passages_of(columns: list[tuple[bool, int, int]], min_words: int, min_identity: float) -> list[tuple[int, int, int, int, int]]:
     """Disjoint stretches of an alignment that keep the identity: (start, words, source start, source words, equal words).
 
-    An equal word earns 1 - identity and any other column costs identity, so a stretch of positive sum has the
-    identity; the best stretch is taken, then those to its left and right.
+    An equal word earns 1 - identity and any other column costs identity, so a stretch whose sum is not negative has the
+    identity.  Of the stretches of at least min_words words that start and end with an equal word, the one of the
+    highest sum is taken, then those to its left and right.
     """
-    ends = np.cumsum([(0, 0)] + [(c[1], c[2]) for c in columns], axis=0)
-    gain = [(1 - min_identity) * c[1] if c[0] else -min_identity * max(c[1], c[2]) for c in columns]
+    equal = np.array([c[0] for c in columns], bool)
+    words = np.concatenate(([0], np.cumsum([c[1] for c in columns])))
+    source = np.concatenate(([0], np.cumsum([c[2] for c in columns])))
+    gain = np.concatenate(([0.0], np.cumsum([(1 - min_identity) * c[1] if c[0] else -min_identity * max(c[1], c[2]) for c in columns])))
+    same = np.concatenate(([0], np.cumsum([c[1] if c[0] else 0 for c in columns])))
     found = []
     todo = [(0, len(columns))]
     while todo:
         lo, hi = todo.pop()
-        best, top, start, run = None, 1e-9, lo, 0.0
-        for i in range(lo, hi):
-            if run <= 0:
-                start, run = i, 0.0
-            run += gain[i]
-            if run > top:
-                best, top = (start, i + 1), run
-        if best is None:
+        if words[hi] - words[lo] < min_words:
             continue
-        a, b = best
-        words, other = (ends[b] - ends[a]).tolist()
-        if words < min_words and ends[hi][0] - ends[lo][0] < min_words:
+        starts = np.where(equal[lo:hi], gain[lo:hi], np.inf)
+        least = np.minimum.accumulate(starts)
+        latest = np.searchsorted(words[lo:hi], words[lo + 1 : hi + 1] - min_words, side="right") - 1  # of the starts that leave enough words
+        sums = np.where(equal[lo:hi] & (latest >= 0), gain[lo + 1 : hi + 1] - least[latest], -np.inf)
+        end = int(np.argmax(sums))
+        if sums[end] < -1e-9:
             continue
-        if words >= min_words:
-            found.append((int(ends[a][0]), words, int(ends[a][1]), other, sum(c[1] for c in columns[a:b] if c[0])))
+        a, b = lo + int(np.argmax(starts == least[latest[end]])), lo + end + 1
+        found.append((int(words[a]), int(words[b] - words[a]), int(source[a]), int(source[b] - source[a]), int(same[b] - same[a])))
         todo += [(lo, a), (b, hi)]
     return sorted(found)
 
 
-def split_words(name: str) -> str:
-    """SQL for the words of a column's text."""
-    return f"split(trim(BOTH ' \\t\\n\\u000b\\f\\r' FROM {name}), '[\\\\x20\\\\x09-\\\\x0D]+')"
+def part_of(columns: list[tuple[bool, int, int]], start: int, source_start: int, most: int) -> list[tuple[bool, int, int]]:
+    """The columns from the words start and source_start on, up to most words of the source."""
+    out, i, j = [], 0, 0
+    for equal, n, m in columns:
+        skip = max(0, min(start - i, n), min(source_start - j, m)) if equal else 0
+        if (i + n > start or n == 0 and i >= start) and (j + m > source_start or m == 0 and j >= source_start):
+            if equal:
+                n = m = min(n - skip, most)
+            if m > most:
+                break
+            if n or m:
+                out.append((equal, n, m))
+            most -= m
+            if not most:
+                break
+            i, j = i + n + skip, j + m + skip
+        else:
+            i, j = i + n, j + m
+    return out
+
+
+class Numbered:
+    """The texts of docs under numbers: a row's id where it is not null and has one text, else a hash of id and text.
+
+    rows: (doc, text), each text of an id once.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str) -> None:
+        own = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        digest = own.select("id", F.xxhash64("text").alias("h"))
+        several = digest.groupBy("id").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count("*").alias("n")).where("n > 1 OR id IS NULL")
+        self.several = materialize(several.select(F.col("id").alias("several_id"), (F.col("id").isNull() | (F.col("a") != F.col("b"))).alias("differ")), "sub-ids")
+        self.plain = self.several.isEmpty()
+        if self.plain:
+            self.rows = own.select(F.col("id").alias("doc"), "text")
+        else:
+            once = own.join(self.several, own["id"] == F.col("several_id"), "left_anti").where("id IS NOT NULL").select(F.col("id").alias("doc"), "text")
+            more = own.join(self.several, own["id"].eqNullSafe(F.col("several_id")))
+            more = more.select(F.when(F.col("differ"), self.hashed(F.col("id"), F.col("text"))).otherwise(F.col("id")).alias("doc"), "text").distinct()
+            self.rows = once.union(more)
+            names = own.join(self.several.where("differ"), own["id"].eqNullSafe(F.col("several_id")))
+            self.names = materialize(names.select(self.hashed(F.col("id"), F.col("text")).alias("no"), F.col("id").alias("named")).distinct(), "sub-names")
+
+    @staticmethod
+    def hashed(id_: Column, text: Column) -> Column:
+        return F.xxhash64(F.lit("row"), F.coalesce(id_, F.lit(0)), id_.isNull(), text)
+
+    def number(self, docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+        """docs with the number of each row."""
+        if self.plain:
+            return docs.withColumn(name, F.when(docs[text_col].isNotNull(), docs[id_col].cast("long")))
+        joined = docs.join(self.several.where("differ"), docs[id_col].cast("long").eqNullSafe(F.col("several_id")), "left")
+        number = F.when(F.col("differ"), self.hashed(docs[id_col].cast("long"), docs[text_col])).otherwise(docs[id_col].cast("long"))
+        return joined.select(*[docs[c] for c in docs.columns], F.when(docs[text_col].isNotNull(), number).alias(name))
+
+    def named(self, found: DataFrame, *cols: str) -> DataFrame:
+        """found with ids in place of numbers."""
+        if self.plain:
+            return found
+        for c in cols:
+            own = self.names.select(F.col("no").alias("no_"), F.col("named").alias("named_"), F.lit(True).alias("known_"))
+            found = found.join(own, F.col(c) == F.col("no_"), "left").withColumn(c, F.when(F.col("known_"), F.col("named_")).otherwise(F.col(c))).drop("no_", "named_", "known_")
+        return found
+
+
+def first_places(table: DataFrame, label: str, second: bool = False) -> DataFrame:
+    """Rows (h, doc, pos[, pos2]) of keys that occur again, with the key's first place: src (least doc) and src_pos[, src_pos2].
+
+    Keys are counted before their rows are joined, and the first places come from the rows of shared keys alone.
+    """
+    shared = materialize(table.groupBy("h").agg(F.min("doc").alias("src"), F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("key"), "src"), f"{label}-shared")
+    hits = materialize(table.join(shared, F.col("h") == F.col("key")).drop("key"), f"{label}-hits")
+    at = F.struct("pos", "pos2") if second else F.struct("pos")
+    first = hits.where("doc = src").groupBy(F.col("h").alias("key")).agg(F.min(at).alias("at"))
+    names = [F.col("at.pos").alias("src_pos"), *([F.col("at.pos2").alias("src_pos2")] if second else [])]
+    out = materialize(hits.join(first, F.col("h") == F.col("key")).select(*hits.columns, *names), f"{label}-links")
+    discard(shared, hits)
+    return out
+
+
+def _lists(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """The fields of a list of structs, flat, and where each row's entries end."""
+    flat = column.flatten()
+    return [np.asarray(flat.field(j)) for j in range(flat.type.num_fields)], np.concatenate(([0], np.cumsum(np.asarray(column.value_lengths()))))
+
+
+CHAIN_NAMES = ["doc", "src", "lo", "n", "slo", "sn", "anchors"]
+CHAIN_TYPES = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.list_(pa.int32())]
+CHAIN_SCHEMA = "doc long, src long, lo int, n int, slo int, sn int, anchors array<int>"
+
+
+def _chain_row(doc: int, src: int, anchors: list[tuple[int, int]], end: tuple[int, int]) -> tuple:
+    """Slices of text and source around anchors (which end before end), and the anchors within them."""
+    lo, slo = max(0, anchors[0][0] - FLANK), max(0, anchors[0][1] - FLANK) // GRID * GRID
+    stop = -(-(end[1] + FLANK) // GRID) * GRID
+    return doc, src, lo, end[0] + FLANK - lo, slo, stop - slo, [v for a, b in anchors for v in (a - lo, b - slo)]
+
 
+def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-def _with_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, text) of the rows that take part: ids of one text each."""
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    digest = rows.select("doc", F.xxhash64("text").alias("h"))
-    several = digest.groupBy("doc").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count("*").alias("n")).where("n > 1").select(F.col("doc").alias("d"), (F.col("a") != F.col("b")).alias("differ"))
-    several = materialize(several, "sub-ids")
-    if several.isEmpty():
-        return rows
-    one = rows.join(several.select("d"), F.col("doc") == F.col("d"), "left_anti")
-    return one.union(rows.join(several.where("not differ").select("d"), F.col("doc") == F.col("d"), "left_semi").distinct())
+
+def _slices(spans: DataFrame, rows: DataFrame) -> DataFrame:
+    """(d, lo, n, said: 64-bit hashes of the words) of spans (d, lo, n); each text is split once for all its spans."""
+    asked = spans.groupBy("d").agg(F.collect_set(F.struct("lo", "n")).alias("spans"))
+    texts = rows.join(asked, F.col("doc") == F.col("d")).select("d", "text", "spans")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (lo, n), ends = _lists(b.column(2))
+            ids, out, size = np.asarray(b.column(0)), [], 0
+            for i in range(b.num_rows):
+                words = word_hashes(b.column(1)[i].as_py().encode().lower())
+                for j in range(ends[i], ends[i + 1]):
+                    part = words[lo[j] : lo[j] + n[j]].tobytes()
+                    out.append((ids[i], lo[j], n[j], part))
+                    size += len(part)
+                    if size > 8_000_000:
+                        yield _batch(out, ["d", "lo", "n", "said"], [pa.int64(), pa.int32(), pa.int32(), pa.binary()])
+                        out, size = [], 0
+            yield _batch(out, ["d", "lo", "n", "said"], [pa.int64(), pa.int32(), pa.int32(), pa.binary()])
+
+    return texts.mapInArrow(cut, "d long, lo int, n int, said binary")
 
 
 def _aligned(chains: DataFrame, rows: DataFrame, min_words: int, min_identity: float) -> DataFrame:
     """The passages that the alignments through the chains' anchors keep."""
-    spans = chains.select(F.col("doc").alias("d"), "lo", "n").union(chains.select("src", "slo", "sn")).distinct()
-    cut = F.expr(f"array_join(slice({split_words('text')}, lo + 1, n), ' ')")
-    spans = materialize(spans.join(rows, F.col("d") == F.col("doc")).select("d", "lo", "n", cut.alias("said")), "sub-spans")
+    spans = chains.select(F.col("doc").alias("d"), "lo", "n").union(chains.select("src", "slo", "sn"))
+    spans = materialize(_slices(spans, rows), "sub-spans")
     own = spans.select(F.col("d").alias("d1"), F.col("lo").alias("lo1"), F.col("n").alias("n1"), F.col("said").alias("x"))
     other = spans.select(F.col("d").alias("d2"), F.col("lo").alias("lo2"), F.col("n").alias("n2"), F.col("said").alias("y"))
     both = chains.join(own, (F.col("doc") == F.col("d1")) & (F.col("lo") == F.col("lo1")) & (F.col("n") == F.col("n1")))
@@ -321,93 +445,87 @@ def _aligned(chains: DataFrame, rows: DataFrame, min_words: int, min_identity: f
     both = both.select("doc", "src", "lo", "slo", "anchors", "x", "y")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "start", "words", "source_id", "source_start", "source_words", "equal"]
+        names = ["doc", "start", "words", "src", "source_start", "source_words", "equal"]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
         for b in batches:
-            out: list[tuple] = []
-            for r in b.to_pylist():
-                x, y = r["x"].encode().lower().split(), r["y"].encode().lower().split()
-                anchors = list(zip(r["anchors"][::2], r["anchors"][1::2], strict=True))
-                for a, n, s, m, same in passages_of(align(x, y, anchors), min_words, min_identity):
-                    out.append((r["doc"], r["lo"] + a, n, r["src"], r["slo"] + s, m, same))
-            cols = list(zip(*out, strict=True)) or [[] for _ in names]
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
-
-    return both.mapInArrow(check, "doc long, start int, words int, source_id long, source_start int, source_words int, equal int")
-
-
-def _unfound_runs(hits: DataFrame, rows: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
-    """Chains (as find_passages() makes them) over the exact runs of min_words words that found does not hold whole."""
-    shared = hits.groupBy("doc").agg(F.collect_set("pos").alias("shared")).withColumnRenamed("doc", "d")
+            for begin in range(0, b.num_rows, 200):
+                tasks, kept = [], []
+                for r in b.slice(begin, 200).to_pylist():
+                    x, y = np.frombuffer(r["x"], np.uint64), np.frombuffer(r["y"], np.uint64)
+                    anchors = list(zip(r["anchors"][::2], r["anchors"][1::2], strict=True))
+                    # the source's slice is wider than needed: no more of it than FLANK beyond the anchors
+                    cut = max(0, anchors[0][1] - FLANK)
+                    y = y[cut : anchors[-1][1] + K + FLANK]
+                    if hopeful(x, y, min_words, min_identity):
+                        tasks.append((x, y, [(p, q - cut) for p, q in anchors]))
+                        kept.append((r["doc"], r["lo"], r["src"], r["slo"] + cut))
+                out = []
+                for (doc, lo, src, slo), columns in zip(kept, align(tasks), strict=True):
+                    for a, n, s, m, same in passages_of(columns, min_words, min_identity):
+                        if doc != src or slo + s + m <= lo + a:
+                            out.append((doc, lo + a, n, src, slo + s, m, same))
+                            continue
+                        part = part_of(columns, a, s, lo + a - slo - s)  # a copy within the text ends where its source would reach it
+                        out += [(doc, lo + a + p, n, src, slo + s + q, m, same) for p, n, q, m, same in passages_of(part, min_words, min_identity)]
+                yield _batch(out, names, types)
+
+    found = materialize(both.mapInArrow(check, "doc long, start int, words int, src long, source_start int, source_words int, equal int"), "sub-found")
+    discard(spans)
+    return found
+
+
+def _unfound_runs(links: DataFrame, rows: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
+    """Chains (see CHAIN_SCHEMA) over the exact runs of min_words words that found does not hold whole."""
+    shared = links.groupBy(F.col("doc").alias("d")).agg(F.collect_set("pos").alias("shared"))
     texts = rows.join(shared, F.col("doc") == F.col("d")).select("doc", "text", "shared")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, lists = np.asarray(b.column(0)), b.column(2)
-            flat, ends = np.asarray(lists.flatten()), np.cumsum(np.asarray(lists.value_lengths()))
+            flat, ends = np.asarray(lists.flatten()), np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths()))))
             kept: list[tuple] = []
             size = 0
             for i in range(b.num_rows):
-                at, h = shared_runs(b.column(1)[i].as_py().encode().lower(), flat[ends[i - 1] if i else 0 : ends[i]], min_words)
-                head = np.zeros(len(h), bool)
-                head[np.unique(h, return_index=True)[1]] = True
-                kept.append((np.full(len(h), ids[i]), at.astype(np.int32), h.view(np.int64), head))
+                at, h = shared_runs(word_hashes(b.column(1)[i].as_py().encode().lower()), flat[ends[i] : ends[i + 1]], min_words)
+                kept.append((np.full(len(h), ids[i]), at.astype(np.int32), h.view(np.int64)))
                 size += len(h)
                 if size > 200_000 or i + 1 == b.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*kept, strict=True)], ["doc", "pos", "h", "head"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*kept, strict=True)], ["doc", "pos", "h"])
                     kept, size = [], 0
 
-    runs = materialize(texts.mapInArrow(run, "doc long, pos int, h long, head boolean"), "sub-runs")
-    first = runs.groupBy("h").agg(F.min("doc").alias("src"), F.max("doc").alias("last"), F.min_by("pos", F.when(F.col("head"), F.col("doc"))).alias("src_pos"))
-    first = first.where("src <> last").select(F.col("h").alias("run"), "src", "src_pos")
-    links = runs.join(first, (F.col("h") == F.col("run")) & (F.col("doc") != F.col("src")))
-    links = links.groupBy("doc").agg(F.collect_list(F.struct("pos", "src", "src_pos")).alias("links"))
+    runs = materialize(texts.mapInArrow(run, "doc long, pos int, h long"), "sub-runs")
+    places = first_places(runs, "sub-run")
+    discard(runs)
+    again = places.where((F.col("doc") != F.col("src")) | (F.col("pos") >= F.col("src_pos") + min_words))
+    asked = again.groupBy("doc").agg(F.collect_list(F.struct("pos", "src", "src_pos")).alias("links"))
     held = found.groupBy(F.col("doc").alias("d")).agg(F.collect_set(F.struct("start", "words")).alias("held"))
-    both = links.join(held, F.col("doc") == F.col("d"), "left").select("doc", "links", "held")
+    both = asked.join(held, F.col("doc") == F.col("d"), "left").select("doc", "links", "held")
 
     def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "src", "lo", "n", "slo", "sn", "anchors"]
         for b in batches:
             out: list[tuple] = []
-            ids, lists, spans = np.asarray(b.column(0)), b.column(1), b.column(2)
-            flat, ends = lists.flatten(), np.cumsum(np.asarray(lists.value_lengths()))
-            pos, src, src_pos = (np.asarray(flat.field(j)) for j in range(3))
+            ids, ((pos, src, src_pos), ends) = np.asarray(b.column(0)), _lists(b.column(1))
             for i in range(b.num_rows):
-                own = slice(ends[i - 1] if i else 0, ends[i])
+                own = slice(ends[i], ends[i + 1])
                 at = pos[own].astype(np.int64)
                 bare = np.ones(int(at.max()) + min_words + 1, np.int64)
                 bare[0] = 0
-                for s in spans[i].as_py() or ():
+                for s in b.column(2)[i].as_py() or ():
                     bare[s["start"] + 1 : s["start"] + s["words"] + 1] = 0
                 bare = np.cumsum(bare)
                 open_ = bare[at + min_words] > bare[at]
-                for a, of, s, words in run_pieces(at[open_], src[own][open_], src_pos[own][open_].astype(np.int64), min_words):
-                    lo, slo = max(0, a - FLANK), max(0, s - FLANK)
+                for a, of, s, words in run_pieces(at[open_], src[own][open_], src_pos[own][open_].astype(np.int64), min_words, ids[i]):
                     steps = [*range(0, words - K, K), words - K]
-                    out.append((ids[i], of, lo, a + words + FLANK - lo, slo, s + words + FLANK - slo, [v for j in steps for v in (a + j - lo, s + j - slo)]))
-            cols = list(zip(*out, strict=True)) or [[] for _ in names]
-            types = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+                    out.append(_chain_row(ids[i], of, [(a + j, s + j) for j in steps], (a + words, s + words)))
+            yield _batch(out, CHAIN_NAMES, CHAIN_TYPES)
 
-    return both.mapInArrow(leave, "doc long, src long, lo int, n int, slo int, sn int, anchors array<int>")
+    chains = materialize(both.mapInArrow(leave, CHAIN_SCHEMA), "sub-rest")
+    discard(places)
+    return chains
 
 
-def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> DataFrame:
-    """Passages of documents that repeat, exactly or nearly, a passage of a document with a smaller id.
-
-    One row for each: (id_col, start, words, source_id, source_start, source_words, equal): positions count words
-    (split at ASCII white space, A-Z lower-cased) from zero.  Passages have at least min_words words in the document and
-    at least min_identity of the alignment's columns equal.  Passages from different sources may overlap.
-
-    Each seed is matched with its first occurrence alone (smallest id), so a passage that a third of the documents
-    share gives a match for each of them, not for each pair.  As the seeds of a passage may so be dealt to several
-    sources, every run of min_words words that has only shared seeds is matched with its own first occurrence too:
-    every word of a run that an earlier document holds exactly is in a passage.  Passages that only their runs find
-    may overlap others of the same source.  Null ids, null texts, and ids that come with different
-    texts take no part; a row that repeats another wholly counts once.  Texts without a word have no passage.  Other
-    columns are not read.  An empty table gives an empty result.
-    """
-    rows = _with_text(docs, id_col, text_col)
+def _passages(rows: DataFrame, min_words: int, min_identity: float) -> DataFrame:
+    """The passages of find_passages() over rows (doc, text), documents by number."""
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -419,46 +537,71 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 while end < len(texts) and (end == done or size < 4_000_000):
                     size += len(texts[end])
                     end += 1
-                d, p, h = seeds_of([t.encode().lower() for t in texts[done:end]])
-                order = np.lexsort((p, h, d))
-                head = np.ones(len(d), bool)
-                head[order[1:]] = (d[order[1:]] != d[order[:-1]]) | (h[order[1:]] != h[order[:-1]])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[done:end][d]), pa.array(p.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(head)], ["doc", "pos", "h", "head"])
+                d, p, h, _ = seeds_of([t.encode().lower() for t in texts[done:end]])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[done:end][d]), pa.array(p.astype(np.int32)), pa.array(h.view(np.int64))], ["doc", "pos", "h"])
                 done = end
 
-    seeds = materialize(rows.mapInArrow(seed, "doc long, pos int, h long, head boolean"), "sub-seeds")
-    heads = seeds.groupBy("h").agg(F.min("doc").alias("src"), F.max("doc").alias("last"), F.min_by("pos", F.when(F.col("head"), F.col("doc"))).alias("src_pos"))
-    heads = materialize(heads.where("src <> last").select(F.col("h").alias("seed"), "src", "src_pos"), "sub-heads")
-    hits = materialize(seeds.join(heads, F.col("h") == F.col("seed")).select("doc", "src", "pos", "src_pos"), "sub-hits")
-    discard(seeds, heads)
-    pairs = hits.where("doc <> src").groupBy("doc", "src").agg(F.count("*").alias("n"), F.collect_list(F.struct("pos", "src_pos")).alias("m")).where("n > 1").select("doc", "src", "m")
+    seeds = materialize(rows.mapInArrow(seed, "doc long, pos int, h long"), "sub-seeds")
+    links = first_places(seeds, "sub-seed")
+    discard(seeds)
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, ((pos, h, src), ends) = np.asarray(b.column(0)), _lists(b.column(1))
+            for i in range(b.num_rows):
+                own = slice(ends[i], ends[i + 1])
+                key, one, two = wide_pairs(pos[own], h[own].view(np.uint64), src[own], ids[i])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), ids[i])), pa.array(one.astype(np.int32)), pa.array(two.astype(np.int32)), pa.array(key.view(np.int64))], ["doc", "pos", "pos2", "h"])
+
+    listed = links.groupBy("doc").agg(F.collect_list(F.struct("pos", "h", "src")).alias("m"))
+    pairs = materialize(listed.mapInArrow(widen, "doc long, pos int, pos2 int, h long"), "sub-pairs")
+    wide = first_places(pairs, "sub-pair", second=True).where("doc <> src")
+    discard(pairs)
+    matches = links.where("doc <> src OR pos > src_pos").select("doc", "src", "pos", "src_pos")
+    matches = matches.union(wide.select("doc", "src", "pos", "src_pos")).union(wide.select("doc", "src", "pos2", "src_pos2"))
+    grouped = matches.groupBy("doc", "src").agg(F.count("*").alias("n"), F.collect_list(F.struct("pos", "src_pos")).alias("m")).where("n > 1").select("doc", "src", "m")
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "src", "lo", "n", "slo", "sn", "anchors"]
-        least = max(2 * K, min_words - 2 * (WINDOW + K))
         for b in batches:
-            out: list[list] = [[] for _ in names]
-            lists = b.column(2)
-            flat = lists.flatten()
-            a, s = np.asarray(flat.field(0)), np.asarray(flat.field(1))
-            ends = np.cumsum(np.asarray(lists.value_lengths()))
-            for i, end in enumerate(ends.tolist()):
-                begin = int(ends[i - 1]) if i else 0
-                for c in chains_of(list(zip(a[begin:end].tolist(), s[begin:end].tolist(), strict=True))):
-                    if c[-1][0] + K - c[0][0] < least:
-                        continue
-                    lo, slo = max(0, c[0][0] - FLANK), max(0, c[0][1] - FLANK)
-                    row = (b.column(0)[i].as_py(), b.column(1)[i].as_py(), lo, c[-1][0] + K + FLANK - lo, slo, c[-1][1] + K + FLANK - slo, [v for x, y in c for v in (x - lo, y - slo)])
-                    for col, v in zip(out, row, strict=True):
-                        col.append(v)
-            types = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
-
-    chains = materialize(pairs.mapInArrow(chain, "doc long, src long, lo int, n int, slo int, sn int, anchors array<int>"), "sub-chains")
-    found = materialize(_aligned(chains, rows, min_words, min_identity), "sub-found")
-    rest = materialize(_unfound_runs(hits, rows, found, min_words), "sub-rest")
-    discard(hits)
-    return found.union(_aligned(rest, rows, min_words, min_identity)).distinct().withColumnRenamed("doc", id_col)
+            out: list[tuple] = []
+            (a, s), ends = _lists(b.column(2))
+            docs, sources = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for i in range(b.num_rows):
+                own = slice(ends[i], ends[i + 1])
+                for c in chains_of(list(zip(a[own].tolist(), s[own].tolist(), strict=True))):
+                    out.append(_chain_row(docs[i], sources[i], c, (c[-1][0] + K, c[-1][1] + K)))
+            yield _batch(out, CHAIN_NAMES, CHAIN_TYPES)
+
+    chains = materialize(grouped.mapInArrow(chain, CHAIN_SCHEMA), "sub-chains")
+    discard(wide)
+    found = _aligned(chains, rows, min_words, min_identity)
+    rest = _unfound_runs(links, rows, found, min_words)
+    exact = _aligned(rest, rows, min_words, min_identity)
+    discard(links, chains, rest)
+    return found.union(exact).distinct()
+
+
+def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> DataFrame:
+    """Passages of documents that repeat, exactly or nearly, a passage of an earlier document or an earlier one of the same.
+
+    One row for each: (id_col, start, words, source_id, source_start, source_words, equal): positions count words
+    (split at ASCII white space, A-Z lower-cased) from zero.  Passages have at least min_words words in the document and
+    at least min_identity of the alignment's columns equal.  Passages may overlap.  Earlier: of smaller id.
+
+    Each seed is matched with its first place alone, so a passage that a third of the documents share gives a match for
+    each of them, not for each pair.  Two further keys make up for that: pairs of seeds some words apart whose first holders
+    differ, each matched with the pair's own first place; and every run of min_words words of which all seeds
+    are shared, with its own.  So every word of a run of min_words words that an earlier document holds exactly is in a
+    passage, whatever pieces of it others hold.  Nearly equal passages need two seeds in common, or a pair, with their first
+    holder; the tests measure how many are found.
+
+    Null texts take no part.  Rows that share an id but not the text, and rows without an id, take part each under a
+    number of its own, a hash, so which of them is the earlier is arbitrary but fixed; a row that repeats another wholly
+    counts once.  Texts without a word have no passage.  Other columns are not read.  An empty table gives an empty result.
+    """
+    numbered = Numbered(docs, id_col, text_col)
+    found = numbered.named(_passages(numbered.rows, min_words, min_identity), "doc", "src")
+    return found.select(F.col("doc").alias(id_col), "start", "words", F.col("src").alias("source_id"), "source_start", "source_words", "equal")
 
 
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -481,12 +624,15 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with every passage that find_passages() reports cut from the document that repeats it.
 
     chars_col, where docs has it, becomes the code points of the text.  Rows of which no word is left go; rows that
-    had no word before stay, as do null ids and rows whose id comes with several texts, whole.
+    had no word before stay, as do null texts.
     """
-    found = find_passages(docs, id_col, text_col, min_words, min_identity).select(F.col(id_col).alias("of"), F.struct("start", "words").alias("span"))
+    numbered = Numbered(docs, id_col, text_col)
+    found = _passages(numbered.rows, min_words, min_identity).select(F.col("doc").alias("of"), F.struct("start", "words").alias("span"))
     spans = materialize(found.groupBy("of").agg(F.collect_set("span").alias("spans")), "sub-cuts")
     of, own = spans["of"], spans["spans"]
-    joined = docs.join(spans, docs[id_col] == of, "left")
+    number = free_name(docs, "row_number")
+    joined = numbered.number(docs, id_col, text_col, number)
+    joined = joined.join(spans, joined[number] == of, "left")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, cuts: pd.Series) -> pd.Series:
