@@ -437,7 +437,7 @@ def _slices(spans: DataFrame, rows: DataFrame) -> DataFrame:
 def _aligned(chains: DataFrame, rows: DataFrame, min_words: int, min_identity: float) -> DataFrame:
     """The passages that the alignments through the chains' anchors keep."""
     spans = chains.select(F.col("doc").alias("d"), "lo", "n").union(chains.select("src", "slo", "sn"))
-    spans = materialize(_slices(spans, rows), "sub-spans")
+    spans = materialize(_slices(spans, rows), "sub-spans")  # of a doc's spans one row each, so joins below have unique keys
     own = spans.select(F.col("d").alias("d1"), F.col("lo").alias("lo1"), F.col("n").alias("n1"), F.col("said").alias("x"))
     other = spans.select(F.col("d").alias("d2"), F.col("lo").alias("lo2"), F.col("n").alias("n2"), F.col("said").alias("y"))
     both = chains.join(own, (F.col("doc") == F.col("d1")) & (F.col("lo") == F.col("lo1")) & (F.col("n") == F.col("n1")))
@@ -474,32 +474,67 @@ def _aligned(chains: DataFrame, rows: DataFrame, min_words: int, min_identity: f
     return found
 
 
-def _unfound_runs(links: DataFrame, rows: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
-    """Chains (see CHAIN_SCHEMA) over the exact runs of min_words words that found does not hold whole."""
-    shared = links.groupBy(F.col("doc").alias("d")).agg(F.collect_set("pos").alias("shared"))
-    texts = rows.join(shared, F.col("doc") == F.col("d")).select("doc", "text", "shared")
+def _uncovered(at: np.ndarray, width: int, spans: list[dict]) -> np.ndarray:
+    """Which runs of width words, at rising places, are not wholly inside the union of spans."""
+    bare = np.ones(int(at.max(initial=0)) + width + 1, np.int64)
+    bare[0] = 0
+    for s in spans:
+        bare[s["start"] + 1 : s["start"] + s["words"] + 1] = 0
+    bare = np.cumsum(bare)
+    return bare[at + width] > bare[at]
+
+
+def _least_kmers(words: np.ndarray, width: int) -> np.ndarray:
+    """The least k-mer of every run of width words.  It is a seed of any text that holds the run, as WINDOW is less than its k-mers."""
+    return _sliding(np.minimum(run_hashes(words, K), NONE - np.uint64(1)), width - K + 1, np.minimum)
+
+
+def _unfound_runs(links: DataFrame, rows: DataFrame, held: DataFrame, min_words: int) -> DataFrame:
+    """Chains (see CHAIN_SCHEMA) over the exact runs of min_words words that held (d, held: found passages) does not hold whole.
+
+    Of those runs the least k-mers are gathered; then every run with one of these, in any text, is matched with its first place.
+    """
+    shared = links.groupBy(F.col("doc").alias("d0")).agg(F.collect_set("pos").alias("shared"))
+    texts = rows.join(shared, F.col("doc") == F.col("d0")).join(held, F.col("doc") == F.col("d"), "left").select("doc", "text", "shared", "held")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, ends = np.asarray(b.column(2).flatten()), np.concatenate(([0], np.cumsum(np.asarray(b.column(2).value_lengths()))))
+            found = [np.zeros(0, np.uint64)]
+            for i in range(b.num_rows):
+                words = word_hashes(b.column(1)[i].as_py().encode().lower())
+                at, _ = shared_runs(words, flat[ends[i] : ends[i + 1]], min_words)
+                if len(at):
+                    at = at[_uncovered(at, min_words, b.column(3)[i].as_py() or [])]
+                    found.append(_least_kmers(words, min_words)[at])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).view(np.int64))], ["asked"])
+
+    asked = materialize(texts.select("doc", "text", "shared", "held").mapInArrow(ask, "asked long").distinct(), "sub-asked")
+    holders = links.join(asked, F.col("h") == F.col("asked"), "left_semi").groupBy(F.col("doc").alias("d")).agg(F.collect_set("h").alias("asked"))
+    texts = rows.join(holders, F.col("doc") == F.col("d")).select("doc", "text", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, lists = np.asarray(b.column(0)), b.column(2)
-            flat, ends = np.asarray(lists.flatten()), np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths()))))
+            ids = np.asarray(b.column(0))
+            flat, ends = np.asarray(b.column(2).flatten()), np.concatenate(([0], np.cumsum(np.asarray(b.column(2).value_lengths()))))
             kept: list[tuple] = []
             size = 0
             for i in range(b.num_rows):
-                at, h = shared_runs(word_hashes(b.column(1)[i].as_py().encode().lower()), flat[ends[i] : ends[i + 1]], min_words)
-                kept.append((np.full(len(h), ids[i]), at.astype(np.int32), h.view(np.int64)))
-                size += len(h)
+                words = word_hashes(b.column(1)[i].as_py().encode().lower())
+                h = run_hashes(words, min_words)
+                at = np.flatnonzero(np.isin(_least_kmers(words, min_words).view(np.int64), flat[ends[i] : ends[i + 1]])) if len(h) else np.zeros(0, np.int64)
+                kept.append((np.full(len(at), ids[i]), at.astype(np.int32), h[at].view(np.int64)))
+                size += len(at)
                 if size > 200_000 or i + 1 == b.num_rows:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*kept, strict=True)], ["doc", "pos", "h"])
                     kept, size = [], 0
 
     runs = materialize(texts.mapInArrow(run, "doc long, pos int, h long"), "sub-runs")
     places = first_places(runs, "sub-run")
-    discard(runs)
+    discard(runs, asked)
     again = places.where((F.col("doc") != F.col("src")) | (F.col("pos") >= F.col("src_pos") + min_words))
-    asked = again.groupBy("doc").agg(F.collect_list(F.struct("pos", "src", "src_pos")).alias("links"))
-    held = found.groupBy(F.col("doc").alias("d")).agg(F.collect_set(F.struct("start", "words")).alias("held"))
-    both = asked.join(held, F.col("doc") == F.col("d"), "left").select("doc", "links", "held")
+    repeats = again.groupBy("doc").agg(F.collect_list(F.struct("pos", "src", "src_pos")).alias("links"))
+    both = repeats.join(held, F.col("doc") == F.col("d"), "left").select("doc", "links", "held")
 
     def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -508,12 +543,7 @@ def _unfound_runs(links: DataFrame, rows: DataFrame, found: DataFrame, min_words
             for i in range(b.num_rows):
                 own = slice(ends[i], ends[i + 1])
                 at = pos[own].astype(np.int64)
-                bare = np.ones(int(at.max()) + min_words + 1, np.int64)
-                bare[0] = 0
-                for s in b.column(2)[i].as_py() or ():
-                    bare[s["start"] + 1 : s["start"] + s["words"] + 1] = 0
-                bare = np.cumsum(bare)
-                open_ = bare[at + min_words] > bare[at]
+                open_ = _uncovered(at, min_words, b.column(2)[i].as_py() or [])
                 for a, of, s, words in run_pieces(at[open_], src[own][open_], src_pos[own][open_].astype(np.int64), min_words, ids[i]):
                     steps = [*range(0, words - K, K), words - K]
                     out.append(_chain_row(ids[i], of, [(a + j, s + j) for j in steps], (a + words, s + words)))
@@ -524,6 +554,40 @@ def _unfound_runs(links: DataFrame, rows: DataFrame, found: DataFrame, min_words
     return chains
 
 
+def needed_first(chains: list[tuple[int, list[tuple[int, int]]]]) -> list[bool]:
+    """Of a text's chains (source, anchors), which hold a word that no better one does: more anchors, then the smaller source."""
+    order = sorted(range(len(chains)), key=lambda i: (-len(chains[i][1]), chains[i][0], chains[i][1][0]))
+    covered = np.zeros(max((c[-1][0] for _, c in chains), default=0) + K, bool)
+    out = [False] * len(chains)
+    for i in order:
+        span = slice(chains[i][1][0][0], chains[i][1][-1][0] + K)
+        out[i] = not covered[span].all()
+        covered[span] = True
+    return out
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """(copy, of): texts that equal one of a smaller number, and the smallest such."""
+    digests = materialize(rows.select("doc", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest")), "sub-digests")
+    first = digests.groupBy(F.col("digest").alias("d")).agg(F.min("doc").alias("of"), F.count("*").alias("n")).where("n > 1")
+    copies = materialize(digests.join(first, F.col("digest") == F.col("d")).where("doc <> of").select(F.col("doc").alias("copy"), "of"), "sub-copies")
+    discard(digests)
+    return copies
+
+
+def _whole_texts(rows: DataFrame, copies: DataFrame, min_words: int) -> DataFrame:
+    """The copies as passages."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = pa.array([len(t.encode().split()) for t in b.column(2).to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], ["doc", "src", "words"])
+
+    texts = rows.join(copies, F.col("doc") == F.col("copy")).select("doc", "of", "text")
+    zero = F.lit(0)
+    return texts.mapInArrow(count, "doc long, src long, words int").where(F.col("words") >= min_words).select("doc", zero.alias("start"), "words", "src", zero.alias("source_start"), F.col("words").alias("source_words"), F.col("words").alias("equal"))
+
+
 def _passages(rows: DataFrame, min_words: int, min_identity: float) -> DataFrame:
     """The passages of find_passages() over rows (doc, text), documents by number."""
 
@@ -541,7 +605,9 @@ def _passages(rows: DataFrame, min_words: int, min_identity: float) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(ids[done:end][d]), pa.array(p.astype(np.int32)), pa.array(h.view(np.int64))], ["doc", "pos", "h"])
                 done = end
 
-    seeds = materialize(rows.mapInArrow(seed, "doc long, pos int, h long"), "sub-seeds")
+    copies = _copies(rows)
+    seeds = rows.mapInArrow(seed, "doc long, pos int, h long").join(copies, F.col("doc") == F.col("copy"), "left_anti")
+    seeds = materialize(seeds, "sub-seeds")
     links = first_places(seeds, "sub-seed")
     discard(seeds)
 
@@ -559,26 +625,39 @@ def _passages(rows: DataFrame, min_words: int, min_identity: float) -> DataFrame
     discard(pairs)
     matches = links.where("doc <> src OR pos > src_pos").select("doc", "src", "pos", "src_pos")
     matches = matches.union(wide.select("doc", "src", "pos", "src_pos")).union(wide.select("doc", "src", "pos2", "src_pos2"))
-    grouped = matches.groupBy("doc", "src").agg(F.count("*").alias("n"), F.collect_list(F.struct("pos", "src_pos")).alias("m")).where("n > 1").select("doc", "src", "m")
+    grouped = matches.groupBy("doc").agg(F.collect_list(F.struct("src", "pos", "src_pos")).alias("m"))
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            (a, s), ends = _lists(b.column(2))
-            docs, sources = b.column(0).to_pylist(), b.column(1).to_pylist()
+            (of, a, s), ends = _lists(b.column(1))
+            docs = b.column(0).to_pylist()
             for i in range(b.num_rows):
                 own = slice(ends[i], ends[i + 1])
-                for c in chains_of(list(zip(a[own].tolist(), s[own].tolist(), strict=True))):
-                    out.append(_chain_row(docs[i], sources[i], c, (c[-1][0] + K, c[-1][1] + K)))
-            yield _batch(out, CHAIN_NAMES, CHAIN_TYPES)
-
-    chains = materialize(grouped.mapInArrow(chain, CHAIN_SCHEMA), "sub-chains")
+                order = np.argsort(of[own], kind="stable")
+                o, x, y = of[own][order], a[own][order], s[own][order]
+                cuts = np.flatnonzero(np.diff(o)) + 1
+                found: list[tuple[int, list[tuple[int, int]]]] = []
+                for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(o)], strict=True):
+                    if hi - lo > 1:
+                        found += [(int(o[lo]), c) for c in chains_of(list(zip(x[lo:hi].tolist(), y[lo:hi].tolist(), strict=True)))]
+                for (src, c), first in zip(found, needed_first(found), strict=True):
+                    out.append((*_chain_row(docs[i], src, c, (c[-1][0] + K, c[-1][1] + K)), first))
+            yield _batch(out, [*CHAIN_NAMES, "first"], [*CHAIN_TYPES, pa.bool_()])
+
+    chains = materialize(grouped.mapInArrow(chain, f"{CHAIN_SCHEMA}, first boolean"), "sub-chains")
     discard(wide)
-    found = _aligned(chains, rows, min_words, min_identity)
-    rest = _unfound_runs(links, rows, found, min_words)
-    exact = _aligned(rest, rows, min_words, min_identity)
+    plain = chains.drop("first")
+    found = _aligned(plain.where(chains["first"]), rows, min_words, min_identity)
+    held = materialize(found.groupBy(F.col("doc").alias("d")).agg(F.collect_set(F.struct("start", "words")).alias("held")), "sub-held")
+    begin, end = F.col("lo") + F.col("anchors")[0], F.col("lo") + F.element_at("anchors", -2) + K
+    inside = F.coalesce(F.exists("held", lambda h: (h["start"] <= begin) & (h["start"] + h["words"] >= end)), F.lit(False))
+    later = chains.where(~F.col("first")).join(held, F.col("doc") == F.col("d"), "left").where(~inside).select(*CHAIN_NAMES)
+    rest = _unfound_runs(links, rows, held, min_words)
+    more = _aligned(later.union(rest), rows, min_words, min_identity)
+    whole = _whole_texts(rows, copies, min_words)
     discard(links, chains, rest)
-    return found.union(exact).distinct()
+    return materialize(found.union(more).distinct().union(whole), "sub-passages")
 
 
 def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> DataFrame:
@@ -588,7 +667,7 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     (split at ASCII white space, A-Z lower-cased) from zero.  Passages have at least min_words words in the document and
     at least min_identity of the alignment's columns equal.  Passages may overlap.  Earlier: of smaller id.
 
-    Each seed is matched with its first place alone, so a passage that a third of the documents share gives a match for
+    A text that equals another wholly is one passage of it.  Each seed of the rest is matched with its first place alone, so a passage that a third of the documents share gives a match for
     each of them, not for each pair.  Two further keys make up for that: pairs of seeds some words apart whose first holders
     differ, each matched with the pair's own first place; and every run of min_words words of which all seeds
     are shared, with its own.  So every word of a run of min_words words that an earlier document holds exactly is in a
