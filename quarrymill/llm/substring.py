@@ -26,6 +26,8 @@ FLANK = 60
 MAX_GAP = 60
 #: Two seeds of a wide pair are this many words apart; each seed opens that many pairs.
 PAIR_SPAN, PAIRS = (24, 60), 3
+#: A chain counts if this many repeated seeds, of any source, are within reach of it.
+LEAST_SEEDS = 3
 #: A source's slices start and end at multiples of this, so that many copies ask for the same one.
 GRID = 64
 WORD_AND_BLANKS = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
@@ -440,8 +442,9 @@ def _aligned(chains: DataFrame, rows: DataFrame, min_words: int, min_identity: f
     spans = materialize(_slices(spans, rows), "sub-spans")  # of a doc's spans one row each, so joins below have unique keys
     own = spans.select(F.col("d").alias("d1"), F.col("lo").alias("lo1"), F.col("n").alias("n1"), F.col("said").alias("x"))
     other = spans.select(F.col("d").alias("d2"), F.col("lo").alias("lo2"), F.col("n").alias("n2"), F.col("said").alias("y"))
-    both = chains.join(own, (F.col("doc") == F.col("d1")) & (F.col("lo") == F.col("lo1")) & (F.col("n") == F.col("n1")))
-    both = both.join(other, (F.col("src") == F.col("d2")) & (F.col("slo") == F.col("lo2")) & (F.col("sn") == F.col("n2")))
+    # the source's side first: many chains may ask for one slice, and the second join deals them out by their own documents
+    both = chains.join(other, (F.col("src") == F.col("d2")) & (F.col("slo") == F.col("lo2")) & (F.col("sn") == F.col("n2")))
+    both = both.join(own, (F.col("doc") == F.col("d1")) & (F.col("lo") == F.col("lo1")) & (F.col("n") == F.col("n1")))
     both = both.select("doc", "src", "lo", "slo", "anchors", "x", "y")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -494,7 +497,8 @@ def _unfound_runs(links: DataFrame, rows: DataFrame, held: DataFrame, min_words:
 
     Of those runs the least k-mers are gathered; then every run with one of these, in any text, is matched with its first place.
     """
-    shared = links.groupBy(F.col("doc").alias("d0")).agg(F.collect_set("pos").alias("shared"))
+    # a run that an earlier place holds has no seed that is at its own first place
+    shared = links.where("doc <> src OR pos > src_pos").groupBy(F.col("doc").alias("d0")).agg(F.collect_set("pos").alias("shared"))
     texts = rows.join(shared, F.col("doc") == F.col("d0")).join(held, F.col("doc") == F.col("d"), "left").select("doc", "text", "shared", "held")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -555,14 +559,16 @@ def _unfound_runs(links: DataFrame, rows: DataFrame, held: DataFrame, min_words:
 
 
 def needed_first(chains: list[tuple[int, list[tuple[int, int]]]]) -> list[bool]:
-    """Of a text's chains (source, anchors), which hold a word that no better one does: more anchors, then the smaller source."""
+    """Of a text's chains (source, anchors), which hold a word that no better one's alignment reaches: more anchors, then the
+    smaller source.  The others are aligned later, where no passage was found about them."""
     order = sorted(range(len(chains)), key=lambda i: (-len(chains[i][1]), chains[i][0], chains[i][1][0]))
-    covered = np.zeros(max((c[-1][0] for _, c in chains), default=0) + K, bool)
+    reached = np.zeros(max((c[-1][0] for _, c in chains), default=0) + K, bool)
     out = [False] * len(chains)
     for i in order:
-        span = slice(chains[i][1][0][0], chains[i][1][-1][0] + K)
-        out[i] = not covered[span].all()
-        covered[span] = True
+        first, last = chains[i][1][0][0], chains[i][1][-1][0] + K
+        out[i] = not reached[first:last].all()
+        if out[i]:
+            reached[max(0, first - FLANK) : last + FLANK] = True
     return out
 
 
@@ -619,7 +625,7 @@ def _passages(rows: DataFrame, min_words: int, min_identity: float) -> DataFrame
                 key, one, two = wide_pairs(pos[own], h[own].view(np.uint64), src[own], ids[i])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), ids[i])), pa.array(one.astype(np.int32)), pa.array(two.astype(np.int32)), pa.array(key.view(np.int64))], ["doc", "pos", "pos2", "h"])
 
-    listed = links.groupBy("doc").agg(F.collect_list(F.struct("pos", "h", "src")).alias("m"))
+    listed = links.where("doc <> src").groupBy("doc").agg(F.min("src").alias("a"), F.max("src").alias("b"), F.collect_list(F.struct("pos", "h", "src")).alias("m")).where("a <> b").select("doc", "m")
     pairs = materialize(listed.mapInArrow(widen, "doc long, pos int, pos2 int, h long"), "sub-pairs")
     wide = first_places(pairs, "sub-pair", second=True).where("doc <> src")
     discard(pairs)
@@ -641,6 +647,9 @@ def _passages(rows: DataFrame, min_words: int, min_identity: float) -> DataFrame
                 for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(o)], strict=True):
                     if hi - lo > 1:
                         found += [(int(o[lo]), c) for c in chains_of(list(zip(x[lo:hi].tolist(), y[lo:hi].tolist(), strict=True)))]
+                places = np.unique(a[own])
+                near = [np.searchsorted(places, c[-1][0] + FLANK, "right") - np.searchsorted(places, c[0][0] - FLANK) for _, c in found]
+                found = [c for c, n in zip(found, near, strict=True) if n >= LEAST_SEEDS]
                 for (src, c), first in zip(found, needed_first(found), strict=True):
                     out.append((*_chain_row(docs[i], src, c, (c[-1][0] + K, c[-1][1] + K)), first))
             yield _batch(out, [*CHAIN_NAMES, "first"], [*CHAIN_TYPES, pa.bool_()])
@@ -672,7 +681,7 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     differ, each matched with the pair's own first place; and every run of min_words words of which all seeds
     are shared, with its own.  So every word of a run of min_words words that an earlier document holds exactly is in a
     passage, whatever pieces of it others hold.  Nearly equal passages need two seeds in common, or a pair, with their first
-    holder; the tests measure how many are found.
+    holder, and LEAST_SEEDS repeated seeds about them; the tests measure how many are found.
 
     Null texts take no part.  Rows that share an id but not the text, and rows without an id, take part each under a
     number of its own, a hash, so which of them is the earlier is arbitrary but fixed; a row that repeats another wholly
