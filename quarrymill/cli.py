@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import argparse
 import sys
-from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import functions as F
 
@@ -16,10 +16,10 @@ from quarrymill.plans import corpus as corpora
 from quarrymill.plans import evaluate as evaluation
 from quarrymill.plans.generate import generate, render
 from quarrymill.plans.retrieve import retrieve
-from quarrymill.session import build_session
+from quarrymill.session import build_session, written
 from quarrymill.sources import registry, selection, store
 from quarrymill.sources.config import RetrievalConfig, ensure_folders
-from quarrymill.sources.providers import convert, html_to_markdown
+from quarrymill.sources.providers import convert_files
 
 
 class Tables:
@@ -29,7 +29,7 @@ class Tables:
         self.markdown, self.chunks, self.meta, self.vectors, self.registry = (f"{root}/{n}" for n in ("markdown", "chunks", "meta", "vectors", "registry"))
 
     def corpus(self, spark) -> corpora.Corpus:
-        return corpora.assemble(store.read_chunks(spark, self.chunks), spark.read.parquet(self.meta), spark.read.parquet(self.vectors))
+        return corpora.assemble(store.read_chunks(spark, self.chunks), store.read_rows(spark, self.meta), store.read_rows(spark, self.vectors))
 
 
 def ingest(spark, a, tables: Tables) -> int:
@@ -48,34 +48,40 @@ def ingest(spark, a, tables: Tables) -> int:
     print(f"skipped as of another type: {len(chosen.skipped)}")
     if a.dry_run:
         return 0
-    done = convert(told.where("status <> 'UNCHANGED'"), html_to_markdown).cache()
-    failed = done.where("error IS NOT NULL").count()
+    done = written(convert_files(told.where("status <> 'UNCHANGED'")).drop("content"), "converted")
     good = done.where("error IS NULL")
     good.select(F.col("hash").alias("doc_id"), "markdown", "title").write.mode("append").parquet(tables.markdown)
     entries = good.select(F.col("hash").alias("doc_id"), "filename", F.col("path").alias("source_path"), F.col("length").alias("size_bytes"), F.current_timestamp().alias("ingested_at"), "hash")
     registry.save(registry.upsert(known, entries), tables.registry)
+    failed = {r["path"]: r["error"] for r in done.where("error IS NOT NULL").select("path", "error").collect()}  # of the files just chosen by name
+    for path, error in sorted(failed.items()):
+        print(f"failed: {path}: {error}", file=sys.stderr)
+    left = {unquote(urlparse(p).path) for p in failed}
     for f in chosen.files:
-        selection.move_to_processed(f, a.input)
+        if f not in left:  # what failed stays to be tried again
+            selection.move_to_processed(f, a.input)
     return 2 if failed else 0
 
 
 def chunk(spark, a, tables: Tables) -> int:
-    docs = spark.read.parquet(tables.markdown)
+    """Chunks all documents anew, or with --doc-id one of them: the others' chunks stay."""
+    docs = spark.read.parquet(tables.markdown).dropDuplicates(["doc_id"])
     docs = docs.where(F.col("doc_id") == a.doc_id) if a.doc_id else docs
     if docs.isEmpty():
         return 1
     chunks, meta = chunking.chunk_documents(docs)
-    store.write_chunks(chunks, tables.chunks)
-    meta.write.mode("overwrite").parquet(tables.meta)
+    store.replace_documents(chunks, tables.chunks)
+    store.replace_documents(meta, tables.meta)
     return 0
 
 
 def embed(spark, a, tables: Tables) -> int:
-    chunks, meta = store.read_chunks(spark, tables.chunks, a.doc_id), spark.read.parquet(tables.meta)
-    have = spark.read.parquet(tables.vectors) if Path(tables.vectors).exists() else None
-    rows = corpora.embed_chunks(chunks, meta, have, force=a.force).cache()
+    """Embeds chunks without a vector; with --force all, or all of --doc-id, whose stored vectors go first."""
+    chunks, meta = store.read_chunks(spark, tables.chunks, a.doc_id), store.read_rows(spark, tables.meta)
+    have = store.read_rows(spark, tables.vectors)
+    rows = written(corpora.embed_chunks(chunks, meta, have, force=a.force), "embedded")
     print(f"{rows.count()} chunks embedded")
-    rows.write.mode("append" if have is not None and not a.force else "overwrite").parquet(tables.vectors)
+    (store.replace_documents if a.force else store.add_rows)(rows, tables.vectors)
     return 0
 
 

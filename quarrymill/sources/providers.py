@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import html
+import io
 import json
 import re
 import time
+import zipfile
 from collections.abc import Callable, Iterator
 from typing import Protocol
+from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
@@ -183,6 +186,66 @@ def html_to_markdown(page: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
+WORD_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def docx_to_markdown(content: bytes) -> str:
+    """Headings, paragraphs, list items and tables of a DOCX file, whose main part is XML in a zip archive."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{WORD_NS}body")
+    said = lambda node: "".join("\t" if t.tag == f"{WORD_NS}tab" else t.text or "" for t in node.iter() if t.tag in (f"{WORD_NS}t", f"{WORD_NS}tab"))
+    out = []
+    for node in body if body is not None else ():
+        if node.tag == f"{WORD_NS}p":
+            text = said(node).strip()
+            style = node.find(f"{WORD_NS}pPr/{WORD_NS}pStyle")
+            name = (style.get(f"{WORD_NS}val") or "").lower() if style is not None else ""
+            level = re.fullmatch(r"heading\s*([1-6])", name)
+            listed = node.find(f"{WORD_NS}pPr/{WORD_NS}numPr") is not None
+            if text:
+                out.append("#" * int(level[1]) + " " + text if level else "# " + text if name == "title" else "- " + text if listed else text)
+        elif node.tag == f"{WORD_NS}tbl":
+            rows = [[re.sub(r"\s+", " ", " ".join(said(p) for p in cell.iter(f"{WORD_NS}p"))).strip().replace("|", "\\|") for cell in row.findall(f"{WORD_NS}tc")] for row in node.findall(f"{WORD_NS}tr")]
+            lines = ["| " + " | ".join(r) + " |" for r in rows if r]
+            if lines:
+                lines.insert(1, "|" + "---|" * len(rows[0]))
+                out.append("\n".join(lines))
+    return "\n\n".join(out)
+
+
+def file_to_markdown(content: bytes, path: str) -> str:
+    """By the file's ending; what no converter here can read is an error, not a guess."""
+    kind = path.rpartition(".")[2].lower()
+    if kind == "docx":
+        return docx_to_markdown(content)
+    if kind in ("html", "htm"):
+        return html_to_markdown(content.decode("utf-8", "replace"))
+    raise ValueError(f"no converter for .{kind} files is installed")
+
+
+def convert_files(files: DataFrame, converter: Callable[[bytes, str], str] = file_to_markdown) -> DataFrame:
+    """As convert(), for a converter that takes a file's bytes and path."""
+
+    @F.pandas_udf("markdown string, error string")
+    def run(contents: pd.Series, paths: pd.Series) -> pd.DataFrame:
+        out = []
+        for content, path in zip(contents, paths, strict=True):
+            try:
+                out.append((converter(bytes(content), path), None))
+            except Exception as e:  # one document's failure is its own
+                out.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(out, columns=["markdown", "error"])
+
+    done = files.withColumn("_m", run("content", "path")).select(*files.columns, "_m.markdown", "_m.error")
+    return _titled(done)
+
+
+def _titled(done: DataFrame) -> DataFrame:
+    heading = F.nullif(F.regexp_extract("markdown", r"(?m)^#{1,6}\s+(.+)$", 1), F.lit(""))
+    stem = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1) if "path" in done.columns else F.lit("")
+    return done.withColumn("title", F.coalesce(F.trim(heading), stem))
+
+
 def convert(files: DataFrame, converter: Callable[[str], str] = html_to_markdown, content: str = "content") -> DataFrame:
     """files with markdown, title (first heading, else the file's name) and error; a file that fails has an error alone."""
 
@@ -198,6 +261,4 @@ def convert(files: DataFrame, converter: Callable[[str], str] = html_to_markdown
             yield pd.DataFrame(out, columns=["markdown", "error"])
 
     done = files.withColumn("_m", run(F.col(content))).select(*files.columns, "_m.markdown", "_m.error")
-    heading = F.nullif(F.regexp_extract("markdown", r"(?m)^#{1,6}\s+(.+)$", 1), F.lit(""))
-    stem = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1) if "path" in files.columns else F.lit("")
-    return done.withColumn("title", F.coalesce(F.trim(heading), stem))
+    return _titled(done)

@@ -52,7 +52,13 @@ def known(registry: DataFrame, hashes: DataFrame) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """The registry's JSON lines; malformed ones are left out, a missing or unreadable file is an empty registry."""
+    """The registry's JSON lines; malformed ones are left out, a missing one is an empty registry, and one left between the two
+    renames of save() is read where that kept it."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(place) and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}.old")):
+        path = f"{path}.old"
     try:
         rows = spark.read.schema(f"{SCHEMA}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
         return rows.where("_corrupt IS NULL AND hash IS NOT NULL AND doc_id IS NOT NULL").drop("_corrupt")
@@ -63,11 +69,15 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save(registry: DataFrame, path: str) -> None:
-    """Writes beside the old registry and swaps, so readers see one or the other."""
+    """Writes beside the old registry and swaps; the old one is kept until the new one is in place."""
     spark = registry.sparkSession
     jvm = spark.sparkContext._jvm
     new, old = jvm.org.apache.hadoop.fs.Path(f"{path}.new"), jvm.org.apache.hadoop.fs.Path(path)
     fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     registry.write.mode("overwrite").json(f"{path}.new")
-    fs.delete(old, True)
+    kept = jvm.org.apache.hadoop.fs.Path(f"{path}.old")
+    fs.delete(kept, True)
+    if fs.exists(old):
+        fs.rename(old, kept)  # load() falls back on it if this process ends before the next line
     fs.rename(new, old)
+    fs.delete(kept, True)

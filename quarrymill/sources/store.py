@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarrymill.session import written
+
 BUCKETS = 64
 
 
@@ -16,6 +18,39 @@ def write_chunks(chunks: DataFrame, path: str, by_document: int | None = BUCKETS
     writer.mode("overwrite").parquet(path)
 
 
+def _present(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def replace_documents(rows: DataFrame, path: str, by_document: int = BUCKETS) -> None:
+    """Rows take the place of the stored rows of their documents; those of all other documents stay.
+
+    Only the buckets of these documents are rewritten, each from what it held and the new rows, which are written aside first.
+    """
+    spark = rows.sparkSession
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(by_document)).cast("int")
+    new = written(rows, "replacing")
+    if _present(spark, path):
+        docs = new.select("doc_id").distinct()
+        touched = docs.select(bucket.alias("doc_bucket")).distinct()
+        stay = spark.read.parquet(path).join(F.broadcast(touched), "doc_bucket", "left_semi").join(docs, "doc_id", "left_anti")  # at most a row for each bucket
+        new = written(stay.drop("doc_bucket").unionByName(new, allowMissingColumns=True), "replacing")
+    out = new.withColumn("doc_bucket", bucket).repartition(by_document, "doc_bucket")
+    out.write.partitionBy("doc_bucket").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
+def add_rows(rows: DataFrame, path: str, by_document: int = BUCKETS) -> None:
+    """Rows beside the stored ones, in the buckets of their documents."""
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(by_document)).cast("int")
+    rows.withColumn("doc_bucket", bucket).repartition(by_document, "doc_bucket").write.partitionBy("doc_bucket").mode("append").parquet(path)
+
+
+def read_rows(spark: SparkSession, path: str) -> DataFrame | None:
+    """All stored rows; None where nothing is stored."""
+    return spark.read.parquet(path).drop("doc_bucket") if _present(spark, path) else None
+
+
 def read_chunks(spark: SparkSession, path: str, doc_id=None, by_document: int | None = BUCKETS) -> DataFrame:
     """All chunks, or one document's from its bucket alone."""
     chunks = spark.read.parquet(path)
