@@ -55,14 +55,29 @@ def rule_of(host: Column, path: Column, rules: Iterable[tuple[str, str, str]] =
     return found
 
 
-def targets_of(html: Column) -> Column:
-    """Absolute addresses that the whole page names as canonical or redirects to."""
+def resolved(target: Column, url: Column) -> Column:
+    """target as an address: as it is with a scheme; else against the page's url, as browsers do for //host, /path, ?query
+    and relative paths (without folding ..); null for fragments, other schemes and pages without an address."""
+    at = F.instr(url, "://")
+    scheme = F.when(at > 0, F.substr(url, F.lit(1), at - 1))
+    host = F.regexp_extract(rest_of(url), r"^[^/?#]*", 0)
+    path = path_of(url)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, r"[^/]*$", ""))
+    base = F.concat(scheme, F.lit("://"), host)
+    relative = F.when(target.startswith("//"), F.concat(scheme, F.lit(":"), target)).when(target.startswith("/"), F.concat(base, target)).when(target.startswith("?"), F.concat(base, path, target)).otherwise(F.concat(base, folder, F.regexp_replace(target, r"^(\./)+", "")))
+    return F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), target).when((target != "") & ~target.startswith("#") & ~target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), relative)
+
+
+def targets_of(html: Column, url: Column) -> Column:
+    """Addresses that the whole page names as canonical or redirects to; comments and scripts say nothing."""
+    said = F.regexp_replace(html, r"(?is)<!--.*?-->|<script[\s>].*?</script\s*>", " ")
 
     def named(tag: str, attribute: str, word: str) -> Column:
-        hits = F.when(F.contains(F.lower(html), F.lit(word)), F.regexp_extract_all(html, F.lit(tag), F.lit(0)))
+        hits = F.when(F.contains(F.lower(html), F.lit(word)), F.regexp_extract_all(said, F.lit(tag), F.lit(0)))
         return F.coalesce(F.transform(hits, lambda t: F.replace(F.regexp_extract(t, attribute, 1), F.lit("&amp;"), F.lit("&"))), F.array().cast("array<string>"))
 
-    return F.filter(F.concat(named(CANONICAL, HREF, "canonical"), named(REFRESH, GOES_TO, "refresh")), lambda u: F.contains(u, F.lit("://")))
+    found = F.transform(F.concat(named(CANONICAL, HREF, "canonical"), named(REFRESH, GOES_TO, "refresh")), lambda u: resolved(u, url))
+    return F.filter(found, lambda u: u.isNotNull())
 
 
 def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", redirects: DataFrame | None = None) -> DataFrame:
@@ -72,13 +87,13 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
     its address over canonical links and redirects in the pages and in redirects (source, target: addresses), where
     addresses that differ in scheme, www., closing slash, fragment or tracking parameters are one.  An alias that a
     rule allows makes the component's pages allowed; else one that a rule blocks makes them blocked; else they are allowed.
-    A null address, or one without ://, has empty host and path and no alias.  Null and repeated ids are judged like
+    Links without a scheme are taken against the page's own address.  A null address, or one without ://, has empty host and path and no alias.  Null and repeated ids are judged like
     others.  Other columns are not read.  An empty table gives an empty result.
     """
     rules = tuple(rules)
     url = F.col(url_col)
     html = F.col(html_col) if html_col else F.lit(None).cast("string")
-    slim = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"), targets_of(html).alias("targets"))
+    slim = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"), targets_of(html, url).alias("targets"))
     slim = slim.withColumn("own", rule_of(F.col("host"), F.col("path"), rules))
     slim = materialize(slim, "url-pages")
     links = slim.where("size(targets) > 0 and node is not null").select("node", F.explode("targets").alias("to"))
@@ -129,13 +144,23 @@ def oracle(rules: Iterable[tuple[str, str, str]] = RULES) -> str:
 
     tag = lambda t: t.replace("'", "''")
     return f"""
-    WITH RECURSIVE p AS ({parsed("pages", "page_id, html")}),
+    WITH RECURSIVE p AS ({parsed("pages", "page_id, html, url")}),
+    s AS (SELECT node, url AS own_url, regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*') AS host0, path, regexp_replace(html, '(?is)<!--.*?-->|<script[\\s>].*?</script\\s*>', ' ', 'g') AS said FROM p),
     raw AS (
-      SELECT node, replace(regexp_extract(t, '{tag(HREF)}', 1), '&amp;', '&') AS url FROM (SELECT node, unnest(regexp_extract_all(html, '{tag(CANONICAL)}')) AS t FROM p)
+      SELECT node, own_url, host0, path, replace(regexp_extract(t, '{tag(HREF)}', 1), '&amp;', '&') AS u FROM (SELECT node, own_url, host0, path, unnest(regexp_extract_all(said, '{tag(CANONICAL)}')) AS t FROM s)
       UNION ALL
-      SELECT node, replace(regexp_extract(t, '{tag(GOES_TO)}', 1), '&amp;', '&') AS url FROM (SELECT node, unnest(regexp_extract_all(html, '{tag(REFRESH)}')) AS t FROM p)
-    ), src AS (SELECT node AS node0, url FROM raw WHERE node IS NOT NULL AND contains(url, '://')),
-    l AS ({parsed("src", "node0")}),
+      SELECT node, own_url, host0, path, replace(regexp_extract(t, '{tag(GOES_TO)}', 1), '&amp;', '&') AS u FROM (SELECT node, own_url, host0, path, unnest(regexp_extract_all(said, '{tag(REFRESH)}')) AS t FROM s)
+    ), src AS (
+      SELECT node AS node0, CASE
+        WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.\\-]*://') THEN u
+        WHEN u = '' OR starts_with(u, '#') OR regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN NULL
+        WHEN starts_with(u, '//') THEN split_part(own_url, '://', 1) || ':' || u
+        WHEN starts_with(u, '/') THEN split_part(own_url, '://', 1) || '://' || host0 || u
+        WHEN starts_with(u, '?') THEN split_part(own_url, '://', 1) || '://' || host0 || path || u
+        ELSE split_part(own_url, '://', 1) || '://' || host0 || CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || regexp_replace(u, '^(\\./)+', '') END AS url
+      FROM raw WHERE node IS NOT NULL
+    ),
+    l AS ({parsed("(SELECT * FROM src WHERE url IS NOT NULL)", "node0")}),
     e AS (SELECT node0 AS a, node AS b FROM l WHERE node0 <> node UNION SELECT node, node0 FROM l WHERE node0 <> node),
     reach AS (SELECT DISTINCT a, a AS b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
     comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a),

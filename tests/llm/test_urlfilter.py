@@ -45,11 +45,18 @@ PAGES = [
     (None, "http://u@H.com:80?x=/de/", None),
     (13, "http://h.com/de", None),  # a rule fits with a closing slash only: its alias decides
     (14, "http://h.com/de/", None),
+    (15, "https://r.net/a/b?q", '<link rel="canonical" href="/y">'),  # against the page's own address
+    (16, "https://r.net/y", '<meta http-equiv=refresh content="1;url=//B.com/de/y">'),
+    (17, "https://r.net/a/c", '<link rel=canonical href="./b?q">'),
+    (18, "https://r.net/z", '<!-- <link rel=canonical href="/y"> --><script>"<link rel=canonical href=/y>"</script>'),
+    (19, "https://r.net/w", '<link rel=canonical href="mailto:/y"><link rel=canonical href="#y">'),
+    (20, "https://r.net/y?k", '<link rel=canonical href="?k=1">'),
+    (21, "https://r.net/y?k=1", '<link rel=canonical href="http://b.com/de/y">'),
 ]
 
 
 def expected():
-    blocked = {1, 2, 3, 6, 10, 13, 14}
+    blocked = {1, 2, 3, 6, 10, 13, 14, 15, 16, 17, 20, 21}
     return sorted([(i, *split(u), rule(*split(u))[0], "block" if i in blocked else "allow") for i, u, _ in PAGES], key=str)
 
 
