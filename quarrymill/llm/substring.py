@@ -399,6 +399,8 @@ def _lists(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
 CHAIN_NAMES = ["doc", "src", "lo", "n", "slo", "sn", "anchors"]
 CHAIN_TYPES = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.list_(pa.int32())]
 CHAIN_SCHEMA = "doc long, src long, lo int, n int, slo int, sn int, anchors array<int>"
+#: A text's chains stay in its row until it is known which of them need aligning.
+CHAINS_SCHEMA = "doc long, chains array<struct<src: long, lo: int, n: int, slo: int, sn: int, anchors: array<int>, first: boolean>>"
 
 
 def _chain_row(doc: int, src: int, anchors: list[tuple[int, int]], end: tuple[int, int]) -> tuple:
@@ -413,6 +415,14 @@ def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
 
+def _lists_batch(ids: list[int], rows: list[tuple], ends: list[int]) -> pa.RecordBatch:
+    """Rows (doc, chains): rows[ends[i] : ends[i + 1]] (of CHAIN_NAMES but doc, then first) are those of ids[i]."""
+    names, types = [*CHAIN_NAMES[1:], "first"], [*CHAIN_TYPES[1:], pa.bool_()]
+    cols = list(zip(*rows, strict=True)) or [[] for _ in names]
+    flat = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["doc", "chains"])
+
+
 def _slices(spans: DataFrame, rows: DataFrame) -> DataFrame:
     """(d, lo, n, said: 64-bit hashes of the words) of spans (d, lo, n); each text is split once for all its spans."""
     asked = spans.groupBy("d").agg(F.collect_set(F.struct("lo", "n")).alias("spans"))
@@ -636,6 +646,7 @@ def _passages(rows: DataFrame, min_words: int, min_identity: float) -> DataFrame
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
+            laid = [0]
             (of, a, s), ends = _lists(b.column(1))
             docs = b.column(0).to_pylist()
             for i in range(b.num_rows):
@@ -651,17 +662,22 @@ def _passages(rows: DataFrame, min_words: int, min_identity: float) -> DataFrame
                 near = [np.searchsorted(places, c[-1][0] + FLANK, "right") - np.searchsorted(places, c[0][0] - FLANK) for _, c in found]
                 found = [c for c, n in zip(found, near, strict=True) if n >= LEAST_SEEDS]
                 for (src, c), first in zip(found, needed_first(found), strict=True):
-                    out.append((*_chain_row(docs[i], src, c, (c[-1][0] + K, c[-1][1] + K)), first))
-            yield _batch(out, [*CHAIN_NAMES, "first"], [*CHAIN_TYPES, pa.bool_()])
+                    out.append((*_chain_row(docs[i], src, c, (c[-1][0] + K, c[-1][1] + K))[1:], first))
+                laid.append(len(out))
+            yield _lists_batch(docs, out, laid)
+
+    def inside(c: Column) -> Column:
+        begin, end = c["lo"] + c["anchors"][0], c["lo"] + F.element_at(c["anchors"], -2) + K
+        return F.coalesce(F.exists("held", lambda h: (h["start"] <= begin) & (h["start"] + h["words"] >= end)), F.lit(False))
 
-    chains = materialize(grouped.mapInArrow(chain, f"{CHAIN_SCHEMA}, first boolean"), "sub-chains")
+    chains = materialize(grouped.mapInArrow(chain, CHAINS_SCHEMA), "sub-chains")
     discard(wide)
-    plain = chains.drop("first")
-    found = _aligned(plain.where(chains["first"]), rows, min_words, min_identity)
+    firsts = chains.select("doc", F.inline(F.filter("chains", lambda c: c["first"]))).select(*CHAIN_NAMES)
+    found = _aligned(firsts, rows, min_words, min_identity)
     held = materialize(found.groupBy(F.col("doc").alias("d")).agg(F.collect_set(F.struct("start", "words")).alias("held")), "sub-held")
-    begin, end = F.col("lo") + F.col("anchors")[0], F.col("lo") + F.element_at("anchors", -2) + K
-    inside = F.coalesce(F.exists("held", lambda h: (h["start"] <= begin) & (h["start"] + h["words"] >= end)), F.lit(False))
-    later = chains.where(~F.col("first")).join(held, F.col("doc") == F.col("d"), "left").where(~inside).select(*CHAIN_NAMES)
+    others = chains.select("doc", F.filter("chains", lambda c: ~c["first"]).alias("chains")).where(F.size("chains") > 0)
+    others = others.join(held, F.col("doc") == F.col("d"), "left")
+    later = others.select("doc", F.inline(F.filter("chains", lambda c: ~inside(c)))).select(*CHAIN_NAMES)
     rest = _unfound_runs(links, rows, held, min_words)
     more = _aligned(later.union(rest), rows, min_words, min_identity)
     whole = _whole_texts(rows, copies, min_words)
