@@ -28,6 +28,8 @@ MAX_GAP = 60
 PAIR_SPAN, PAIRS = (24, 60), 3
 #: A chain counts if this many repeated seeds, of any source, are within reach of it.
 LEAST_SEEDS = 3
+#: Rows of one key that a task joins; a key with more is split.
+HOT = 20_000
 #: A source's slices start and end at multiples of this, so that many copies ask for the same one.
 GRID = 64
 WORD_AND_BLANKS = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
@@ -378,14 +380,21 @@ class Numbered:
 def first_places(table: DataFrame, label: str, second: bool = False) -> DataFrame:
     """Rows (h, doc, pos[, pos2]) of keys that occur again, with the key's first place: src (least doc) and src_pos[, src_pos2].
 
-    Keys are counted before their rows are joined, and the first places come from the rows of shared keys alone.
+    Keys are counted before their rows are joined, and the first places come from the rows of shared keys alone.  Both
+    joins hash the side of unique keys, so the rows themselves are not sorted; those of a key with more than HOT are dealt
+    over several tasks.
     """
-    shared = materialize(table.groupBy("h").agg(F.min("doc").alias("src"), F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("key"), "src"), f"{label}-shared")
-    hits = materialize(table.join(shared, F.col("h") == F.col("key")).drop("key"), f"{label}-hits")
-    at = F.struct("pos", "pos2") if second else F.struct("pos")
-    first = hits.where("doc = src").groupBy(F.col("h").alias("key")).agg(F.min(at).alias("at"))
-    names = [F.col("at.pos").alias("src_pos"), *([F.col("at.pos2").alias("src_pos2")] if second else [])]
-    out = materialize(hits.join(first, F.col("h") == F.col("key")).select(*hits.columns, *names), f"{label}-links")
+    counted = table.groupBy("h").agg(F.min("doc").alias("src"), F.count("*").alias("n")).where("n > 1")
+    shared = materialize(counted.select(F.col("h").alias("key"), "src", F.ceil(F.col("n") / HOT).cast("int").alias("parts")), f"{label}-shared")
+    hits = materialize(table.join(shared.hint("shuffle_hash"), F.col("h") == F.col("key")).drop("key"), f"{label}-hits")
+    place = F.shiftleft(F.col("pos").cast("long"), 32)
+    place = place + F.col("pos2") if second else place
+    first = hits.where("doc = src").groupBy(F.col("h").alias("key")).agg(F.min(place).alias("at"), F.min("parts").alias("of"))
+    first = first.select("key", "at", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("mine"))
+    names = [F.shiftright("at", 32).cast("int").alias("src_pos"), *([F.col("at").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("src_pos2")] if second else [])]
+    dealt = hits.withColumn("part", F.pmod(F.xxhash64("doc", "pos"), F.col("parts")).cast("int"))
+    both = dealt.join(first.hint("shuffle_hash"), (F.col("h") == F.col("key")) & (F.col("part") == F.col("mine")))
+    out = materialize(both.select(*[c for c in hits.columns if c != "parts"], *names), f"{label}-links")
     discard(shared, hits)
     return out
 
