@@ -2,7 +2,8 @@ import random
 
 import numpy as np
 
-from quarrymill.llm.substring import MaxTree, align, chains_of, cut_repeats, cut_spans, edit_columns, find_passages, hopeful, part_of, passages_of, run_pieces, seeds_of, shared_runs
+from quarrymill.llm import substring
+from quarrymill.llm.substring import MaxTree, align, chains_of, cut_repeats, cut_spans, edit_columns, find_passages, first_places, hopeful, part_of, passages_of, run_pieces, seeds_of, shared_runs
 from quarrymill.llm.words import run_hashes, word_hashes
 
 
@@ -305,3 +306,20 @@ def test_low_variety_passages(spark):
     assert set(want) == {2, 3} and len(want[2]) == 440 and len(want[3]) == 330
     assert all(w <= got.get(d, set()) for d, w in want.items())
     assert all(r.equal >= 0.8 * r.words for r in found)
+
+
+def test_keys_of_many_rows_are_split_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(substring, "HOT", 3)
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 1, 1, 2, 3, 4, -(2**63)]), rng.randint(-5, 20), rng.randint(0, 9), rng.randint(0, 2**31 - 1)) for _ in range(80)] + [(99, 1, 2, 3)]
+    for second in (False, True):
+        own = [r if second else r[:3] for r in rows]
+        names = ["pos", "pos2"][: 1 + second]
+        table = spark.createDataFrame(own, "h long, doc long, pos int" + ", pos2 int" * second)
+        want = []
+        for r in own:
+            same = [x for x in own if x[0] == r[0]]
+            if len(same) > 1:
+                want.append((*r, *min(same, key=lambda x: x[1:])[1:]))
+        got = first_places(table, "split", second).select("h", "doc", *names, "src", *[f"src_{n}" for n in names]).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
