@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.llm.common import connected_components, discard, materialize, spread
@@ -110,7 +110,16 @@ def _labelled(df: DataFrame, labels: DataFrame | None, *names: str) -> DataFrame
     return df
 
 
-def linked(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame | None, list[DataFrame]]:
+def _several(members: DataFrame, labels: DataFrame | None, used: list[DataFrame]) -> DataFrame:
+    """members, with their labels, under keys that hold several components; tables it reads are added to used."""
+    own = materialize(_labelled(members, labels, "node").select(*members.columns, F.col("l_node").alias("label")), "near-own")
+    several = own.groupBy(F.col("key").alias("k")).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("k")
+    apart = materialize(own.join(several, F.col("key") == F.col("k"), "left_semi"), "near-mixed")
+    used += [own, apart]
+    return apart
+
+
+def linked(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame], closer: Callable[[DataFrame], DataFrame] | None = None, could: Callable[[str, str], Column] | None = None) -> tuple[DataFrame | None, list[DataFrame]]:
     """(node, component) of all nodes that a link joins, without emitting the pairs of large groups; and tables it reads.
 
     keyed: (key, node), nodes being longs; a link is a pair with a common key that verify keeps.  verify takes pairs
@@ -119,6 +128,11 @@ def linked(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[
     buckets that still hold several components.  A large group of near copies is one component after the
     first two, which are linear; what is left pairs by pairs are nodes that none of them links.  No pair is lost: one
     that shares a key is either joined already or compared.
+
+    closer: given the nodes (node) of buckets that still hold several components, a table (key, node, size, at) in which
+    any two that verify keeps have a common key, and could (of the names of two rows of it) holds for them there.  It
+    takes the place of the third round's buckets: first each node with the one of least at under its keys, then all
+    pairs under keys that still hold several components.
     """
     buckets = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most")).where("n > 1 AND least <> most"), "near-buckets")
     crowds = buckets.where("n > 2").select(F.col("key").alias("k"), "least")
@@ -126,19 +140,29 @@ def linked(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[
     twos = buckets.where("n = 2").select(F.col("least").alias("a"), F.col("most").alias("b"))
     stars = materialize(twos.union(members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))).distinct(), "near-stars")
     labels, used = None, [members]
-    for round_ in range(3):
+    for round_ in range(3 if closer is None else 4):
         if round_ == 0:
             pairs = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         elif round_ == 1:
             pairs = _labelled(stars, labels, "a", "b").where("l_a <> l_b").select("a", "b")
+        elif round_ == 2:
+            apart = _several(members, labels, used)
+            if closer is None:
+                x, y = apart.alias("x"), apart.alias("y")
+                pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")))
+            else:
+                index = materialize(closer(apart.select("node").distinct()), "near-index")
+                used.append(index)
+                x = _several(index, labels, used)
+                y = x.groupBy("key").agg(F.min(F.struct("at", "node", "size", "label")).alias("y")).select("key", "y.*")
+                x, y = x.alias("x"), y.alias("y")
+                pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & could("x", "y"))
+            pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         else:
-            own = _labelled(members, labels, "node").select("key", "node", F.col("l_node").alias("label"))
-            own = materialize(own, "near-own")
-            several = own.groupBy(F.col("key").alias("k")).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("k")
-            apart = materialize(own.join(several, F.col("key") == F.col("k"), "left_semi"), "near-mixed")
+            apart = _several(index, labels, used)
             x, y = apart.alias("x"), apart.alias("y")
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-            used += [own, apart]
+            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & could("x", "y"))
+            pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
         found = materialize(verify(pairs), "near-found")
         ends = _labelled(found, labels, "a", "b").select(F.col("l_a").alias("a"), F.col("l_b").alias("b"))
         roots = connected_components(ends, "a", "b")
@@ -208,7 +232,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Candidates come from three 64-bit fingerprints over the set of words, cut into six segments: texts meet if one of them
     agrees but for one bit.  A changed word alters one member of that set but five shingles, so near copies
-    differ in fewer bits than fingerprints of shingles would; every candidate is then verified on its shingles.
+    differ in fewer bits than fingerprints of shingles would; every candidate is then verified on its shingles.  Texts that
+    meet but are not linked to one text of their segment are compared where they share one of their rarest shingles.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,6 +250,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "copies-nodes")
     bits = nodes.select("node", *fps)
     kept: list[DataFrame] = []
+    indexed: list[DataFrame] = []
+
+    def sets_of(need: DataFrame) -> DataFrame:
+        needed = materialize(nodes.join(need, F.col("node") == F.col("need"), "left_semi").select("node", F.col("rep").alias("rep_"), F.col("digest").alias("digest_")), "copies-needed")
+        said = worded.join(needed, F.col("id").eqNullSafe(F.col("rep_")) & (F.col("digest") == F.col("digest_"))).select("node", "text")
+        sets = materialize(said.mapInArrow(_shingle_sets(width), "node long, shingles array<long>").dropDuplicates(["node"]), "copies-sets")
+        kept.extend([needed, sets])
+        return sets
 
     def verify(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
@@ -232,18 +265,24 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             pairs = pairs.join(own, F.col(side) == F.col(f"n_{side}"))
         apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in fps), F.lit(0))
         near = materialize(pairs.where(apart <= MOST_BITS).select("a", "b"), "copies-pairs")
-        needed = near.select(F.col("a").alias("need")).union(near.select("b")).distinct()
-        needed = materialize(nodes.join(needed, F.col("node") == F.col("need"), "left_semi").select("node", F.col("rep").alias("rep_"), F.col("digest").alias("digest_")), "copies-needed")
-        said = worded.join(needed, F.col("id").eqNullSafe(F.col("rep_")) & (F.col("digest") == F.col("digest_"))).select("node", "text")
-        sets = materialize(said.mapInArrow(_shingle_sets(width), "node long, shingles array<long>").dropDuplicates(["node"]), "copies-sets")
+        kept.append(near)
+        sets = indexed[0] if indexed else sets_of(near.select(F.col("a").alias("need")).union(near.select("b")).distinct())
         for side in ("a", "b"):
             near_ = near if side == "a" else both
             both = near_.join(sets.select(F.col("node").alias(f"n_{side}"), F.col("shingles").alias(f"s_{side}")), F.col(side) == F.col(f"n_{side}"))
         common = F.size(F.array_intersect("s_a", "s_b"))
-        kept.extend([near, needed, sets])
         return both.where(common >= F.lit(similarity) * (F.size("s_a") + F.size("s_b") - common)).select("a", "b")
 
-    labels, used = linked(variants(bits, fps), verify)
+    def index(some: DataFrame) -> DataFrame:
+        indexed.append(sets_of(some.select(F.col("node").alias("need"))))
+        return rarest_shingles(indexed[0], similarity)
+
+    def could(x: str, y: str) -> Column:
+        """Whether the shingles from a common one on are enough: a pair's rarest common shingle has all others behind it."""
+        left = F.least(F.col(f"{x}.size") - F.col(f"{x}.at"), F.col(f"{y}.size") - F.col(f"{y}.at"))
+        return (1 + similarity) * left >= similarity * (F.col(f"{x}.size") + F.col(f"{y}.size")) - 1e-6
+
+    labels, used = linked(variants(bits, fps), verify, index, could)
     named = nodes.join(labels.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("digest", "rep", F.coalesce("component", "node").alias("root"))
     least = named.groupBy(F.col("root").alias("root_")).agg(F.min("rep").alias("component_id"))
     named = materialize(named.join(least, F.col("root") == F.col("root_")).select(F.col("digest").alias("of"), "component_id"), "copies-named")
@@ -265,6 +304,22 @@ def _shingle_sets(width: int):
     return run
 
 
+def rarest_shingles(sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, size, at) of those rarest shingles of each of sets (node, shingles) of which two similar ones share one.
+
+    at: how many of the node's size shingles are rarer (by number of nodes that have it, then by hash).  The rarest
+    common shingle of two sets has all other common ones behind it in both, so it is among those that leave at
+    least similarity * size.
+    """
+    each = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("key"))
+    often = each.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n")).where("n > 1")
+    shared = each.join(often.hint("shuffle_hash"), F.col("key") == F.col("k"))
+    own = Window.partitionBy("node")
+    at = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "key")) - 1
+    placed = shared.select("key", "node", "size", at.alias("at"))
+    return placed.where(F.col("size") - F.col("at") >= similarity * F.col("size") - 1e-6)
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without the rows that are near copies: of each component of near_copies() the row with the smallest id stays.
 

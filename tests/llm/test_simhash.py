@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from quarrymill.llm.simhash import drop_near_duplicates, near_copies, near_duplicates, word_sketches
+from quarrymill.llm.common import materialize
+from quarrymill.llm.simhash import drop_near_duplicates, near_copies, near_duplicates, rarest_shingles, word_sketches
 
 
 def brute(rows):
@@ -139,3 +140,49 @@ def test_sketches_count_words_once():
     a, b = word_sketches(["one two three", "three ONE two one one"])
     assert a.tolist() == b.tolist()
     assert word_sketches([None, "", " "]).tolist() == [[0, 0, 0]] * 3
+
+
+def test_unlinked_copies_of_a_template_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Most copies here have too many changes to link with any other; they share segments all the same."""
+    from quarrymill.llm import simhash
+
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(4000)}" for _ in range(150)]
+    rows = []
+    for i in range(600):
+        own = base[:]
+        for j in rng.sample(range(150), 1 + i % 8):
+            own[j] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    compared = []
+
+    def counted(df, label):
+        out = materialize(df, label)
+        if label == "copies-pairs":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    got = {r.id: r.component_id for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_copies(rows)
+    assert len(set(want)) > 200 and max(map(want.count, set(want))) > 75
+    assert [got[i] for i in range(600)] == want
+    assert sum(compared) < 40 * len(rows)
+
+
+def test_rarest_shingles_keep_every_similar_pair(spark):
+    rng = random.Random(8)
+    sets = []
+    for i in range(120):
+        own = set(rng.sample(range(60), rng.randint(1, 12)))
+        sets.append((i, sorted(own)))
+        sets += [(1000 * k + i, sorted(set(rng.sample(sorted(own), max(1, len(own) - 1))) | set(rng.sample(range(60), k - 1)))) for k in (1, 2)]
+    got = rarest_shingles(spark.createDataFrame(sets, "node long, shingles array<long>"), 0.8).collect()
+    keys = {}
+    for r in got:
+        keys.setdefault(r.node, {})[r.key] = (r.size, r.at)
+    similar = [(a, b) for a, x in sets for b, y in sets if a < b and len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y))]
+    assert len(similar) > 100
+    for a, b in similar:
+        common = keys[a].keys() & keys[b].keys()
+        assert any(1.8 * min(n - i, m - j) >= 0.8 * (n + m) - 1e-6 for (n, i), (m, j) in ((keys[a][k], keys[b][k]) for k in common))
