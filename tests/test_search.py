@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarrymill.operators import answers, context, lexical, metrics, queryplan, rerank, vectors
+from quarrymill.operators import answers, context, lexical, lookup, metrics, queryplan, rerank, vectors
 from quarrymill.sources import providers
 
 
@@ -72,6 +72,30 @@ def test_nearest_in_small_blocks(spark, monkeypatch):
         assert [x[1:] for x in sorted(found)] == sorted(want[i])[:5]
 
 
+def test_lookup_pairs_are_never_shuffled(spark, monkeypatch):
+    """Every pair once, whatever the blocks, and from an exchange no more rows than rows and queries in."""
+    monkeypatch.setattr(lookup, "ROW_BLOCK", 16)
+    monkeypatch.setattr(lookup, "QUERY_BLOCK", 8)
+    rows = [(i, "ab"[i % 2], "k; B" if i % 3 else "k", "Red ant" if i % 5 else "blue") for i in range(200)] + [(1, "a", "k", "x"), (2, None, None, None)]
+    store = spark.createDataFrame(rows, "id long, brand string, kinds string, text string")
+    asks = [(q, v) for q in range(60) for v in ("a", "b", "K", "k", "red", "u") if (q + len(v)) % 4] + [(1, None), (1, "a")]
+    wanted = spark.createDataFrame(asks, "query_id long, value string")
+    whole = {k for _, _, k, _ in rows}
+    fits = {
+        "test_case": lambda v, r: v == r[1],
+        "requirement": lambda v, r: r[2] is not None and (v == r[2] or v not in whole and v.lower() in [p.strip().lower() for p in r[2].split(";")]),
+        "component": lambda v, r: r[3] is not None and v.lower() in r[3].lower(),
+    }
+    for kinds in ([k] for k in fits), [list(fits)]:
+        for some in kinds:
+            got = lookup.exact_lookup(dict.fromkeys(some, wanted), store, ["id"], columns={"test_case": "brand", "requirement": "kinds"})
+            want = {(q, r[0], 1.0) for q, v in asks if v for r in rows if any(fits[k](v, r) for k in some)}
+            found = [tuple(x) for x in got.collect()]
+            assert len(found) == len(set(found)) and set(found) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan.split("Join")[0] and not any(x in plan.split("Join")[0] for x in ("Aggregate", "Sort", "Repartition"))
+
+
 def test_rerankers(spark):
     hits = spark.createDataFrame([(1, 1, 5.0), (1, 2, 9.0), (1, 3, 9.0), (2, 1, 4.0), (2, 2, 4.0)], "query_id long, rank int, raw double")
     got = [(r.query_id, r["rank"], r.score) for r in rerank.min_max(hits, 2).orderBy("query_id", "new_rank").collect()]
