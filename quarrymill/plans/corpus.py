@@ -14,7 +14,7 @@ from quarrymill.sources.providers import Embedder, HashEmbedder, embed
 
 @dataclass
 class Corpus:
-    """chunks (with raw text), meta, the vector store (enriched text, flat metadata, embedding), postings and abbreviations."""
+    """chunks (with raw text), meta, the vector store (enriched text, flat metadata, embedding), tokens and abbreviations."""
 
     chunks: DataFrame
     meta: DataFrame
@@ -43,6 +43,6 @@ def build(markdown: DataFrame, config: chunking.ChunkConfig = chunking.ChunkConf
 
 def assemble(chunks: DataFrame, meta: DataFrame, store: DataFrame) -> Corpus:
     leaves = chunking.of_tier(chunks, 3)
-    index = written(lexical.postings(leaves, ["doc_id", "chunk_id"]), "postings")
+    index = written(lexical.indexed(leaves, ["doc_id", "chunk_id"]), "index")
     tables = written(queryplan.abbreviations(leaves.where("chunk_type = 'abbreviation_table'"), order=["ord"]), "abbreviations")
     return Corpus(chunks, meta, store, index, tables)

@@ -24,12 +24,11 @@ def ranked_sql(where: str = "") -> str:
 
 
 def line_index(spark, sf_dir) -> DataFrame:
-    return lexical.postings(lexical.lines_as_chunks(table(spark, sf_dir, "documents")), KEYS, tokenizer=lexical.plain_tokens)
+    return lexical.indexed(lexical.lines_as_chunks(table(spark, sf_dir, "documents")), KEYS, tokenizer=lexical.plain_tokens)
 
 
 def bm25(spark, sf_dir, allowed: DataFrame | None = None, n: int = 20) -> DataFrame:
-    index = line_index(spark, sf_dir).persist()
-    return lexical.bm25_top(table(spark, sf_dir, "benchmark"), index, KEYS, n, allowed, "item_id", tokenizer=lexical.plain_tokens)
+    return lexical.bm25_top(table(spark, sf_dir, "benchmark"), line_index(spark, sf_dir), KEYS, n, allowed, "item_id", tokenizer=lexical.plain_tokens)
 
 
 @query(f"SELECT doc_id, token, count(*) AS n FROM ({TOKENS}) GROUP BY doc_id, token")
@@ -48,7 +47,7 @@ def compound_tokens(spark, sf_dir):
 
 @query(f"WITH {INDEX} SELECT (SELECT count(*) FROM (SELECT DISTINCT doc_id, ord FROM ix)) AS n_chunks, round((SELECT avg(dl) FROM (SELECT DISTINCT doc_id, ord, dl FROM ix)), 6) AS avg_len, (SELECT count(DISTINCT token) FROM ix) AS n_tokens")
 def bm25_index_stats(spark, sf_dir):
-    return lexical.index_stats(line_index(spark, sf_dir), KEYS).withColumn("avg_len", F.round("avg_len", 6))
+    return lexical.index_stats(line_index(spark, sf_dir)).withColumn("avg_len", F.round("avg_len", 6))
 
 
 @query(f"{ranked_sql()} SELECT item_id, doc_id, CAST(ord AS INTEGER) AS ord, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20")

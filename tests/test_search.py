@@ -96,6 +96,30 @@ def test_lookup_pairs_are_never_shuffled(spark, monkeypatch):
     assert "Generate" in plan.split("Join")[0] and not any(x in plan.split("Join")[0] for x in ("Aggregate", "Sort", "Repartition"))
 
 
+def test_bm25_in_small_blocks_shuffles_hits_alone(spark, monkeypatch):
+    for name, n in (("CHUNK_BLOCK", 7), ("QUERY_BLOCK", 3), ("QUERY_SLICE", 5)):
+        monkeypatch.setattr(lexical, name, n)
+    rng = random.Random(2)
+    words = ["alpha", "beta", "gamma", "delta", "rare", "the"]
+    lines = [(i, " ".join(rng.choice(words[:4] + ["the"] * 4) for _ in range(rng.randint(0, 9)))) for i in range(150)] + [(150, "rare rare"), (151, "")]
+    chunks = spark.createDataFrame(lines, "id long, text string").repartition(5)
+    queries = spark.createDataFrame([(q, " ".join(rng.choices(words, k=4))) for q in range(12)], "query_id long, text string")
+    index = lexical.indexed(chunks, ["id"], tokenizer=lexical.plain_tokens)
+    every = lexical.bm25_scores(queries, index, ["id"], tokenizer=lexical.plain_tokens).where("score > 0").collect()
+    want = {(r.query_id, n + 1, r.id) for q in range(12) for n, r in enumerate(sorted((r for r in every if r.query_id == q), key=lambda r: (-round(r.score, 9), r.id))[:4])}
+    top = lexical.bm25_top(queries, index, ["id"], 4, tokenizer=lexical.plain_tokens)
+    assert {(r.query_id, r["rank"], r.id) for r in top.collect()} == want
+    assert "MapInArrow" in (plan := top._jdf.queryExecution().optimizedPlan().toString()) and "FlatMapGroups" not in plan and "Join" not in plan
+    stats = lexical.index_stats(index).first()
+    assert (stats.n_chunks, stats.n_tokens) == (sum(bool(t) for _, t in lines), 6)
+    odd = ["Été-là 1_a  B", "", None, "x\ty--\n", "漢字", "ſ K z"]
+    split = lexical._token_lists(lexical.indexed(spark.createDataFrame([(t,) for t in odd], "text string"), [], tokenizer=lexical.plain_tokens).toArrow().column("tokens").combine_chunks())
+    want = [r.t or [] for r in spark.createDataFrame([(t,) for t in odd], "text string").select(lexical.plain_tokens(F.col("text")).alias("t")).collect()]
+    assert [[t for i, t in zip(split[0], split[1].to_pylist(), strict=True) if i == n] for n in range(len(odd))] == want
+    none = lexical.indexed(chunks.where("false"), ["id"])
+    assert lexical.bm25_top(queries, none, ["id"]).count() == 0 and lexical.index_stats(none).first().n_chunks == 0
+
+
 def test_rerankers(spark):
     hits = spark.createDataFrame([(1, 1, 5.0), (1, 2, 9.0), (1, 3, 9.0), (2, 1, 4.0), (2, 2, 4.0)], "query_id long, rank int, raw double")
     got = [(r.query_id, r["rank"], r.score) for r in rerank.min_max(hits, 2).orderBy("query_id", "new_rank").collect()]
