@@ -10,17 +10,20 @@ from quarrymill.operators.answers import level_rank
 RETRIEVAL = ("precision", "recall", "reciprocal_rank", "ndcg", "hit")
 
 
-def retrieval_metrics(queries: DataFrame, retrieved: DataFrame, relevant: DataFrame, item: str = "item_id") -> DataFrame:
+def retrieval_metrics(queries: DataFrame, retrieved: DataFrame, relevant: DataFrame, item: str = "item_id", by: str = "query_id") -> DataFrame:
     """One row for each query: precision, recall, reciprocal rank, nDCG (binary) and hit.
 
     retrieved: (query_id, item, rank from 1); relevant: (query_id, item).  Nothing retrieved: precision 0.  Nothing
     relevant: recall and nDCG 1.  The ideal order is over as many places as were retrieved.
+    by: where what is relevant hangs on another column of queries, relevant has that column in place of query_id, so its
+    rows are not repeated for each query.
     """
-    good = relevant.select("query_id", item).distinct().withColumn("rel", F.lit(1))
-    hits = retrieved.join(good, ["query_id", item], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+    good = relevant.select(by, item).distinct().withColumn("rel", F.lit(1))
+    placed = retrieved if by == "query_id" else retrieved.join(queries.select("query_id", by), "query_id")
+    hits = placed.join(good, [by, item], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
     got = hits.groupBy("query_id").agg(F.count("*").alias("n"), F.sum("rel").alias("found"), F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("first"), F.sum(F.col("rel") / F.log2(F.col("rank") + 1)).alias("dcg"))
-    wanted = good.groupBy("query_id").agg(F.count("*").alias("n_rel"))
-    both = queries.join(got, "query_id", "left").join(wanted, "query_id", "left").fillna(0, ["n", "found", "n_rel"])
+    wanted = good.groupBy(by).agg(F.count("*").alias("n_rel"))
+    both = queries.join(got, "query_id", "left").join(wanted, by, "left").fillna(0, ["n", "found", "n_rel"])
     ideal = F.aggregate(F.when(F.least("n", "n_rel") > 0, F.sequence(F.lit(1), F.least("n", "n_rel").cast("int"))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + F.lit(1.0)))
     return both.select(
         *queries.columns,

@@ -72,6 +72,25 @@ def test_nearest_in_small_blocks(spark, monkeypatch):
         assert [x[1:] for x in sorted(found)] == sorted(want[i])[:5]
 
 
+def test_nearest_shuffles_no_vector(spark, monkeypatch):
+    for name, n in (("CANDIDATE_BLOCK", 7), ("QUERY_BLOCK", 2), ("QUERY_SLICE", 3)):
+        monkeypatch.setattr(vectors, name, n)
+    rows = [(i, [float(i % 7), float(i % 3) - 1, 1.0][: 2 + i % 2], "ab"[i % 2] if i % 9 else None) for i in range(70)] + [(70, [0.0, 0.0], "a"), (71, None, "a")]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string").repartition(4)
+    q = v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label")
+
+    def cos(a, b):
+        x, y = ([*u, 0.0][:3] for u in (a, b))
+        size = sum(e * e for e in x) ** 0.5 * sum(e * e for e in y) ** 0.5
+        return round(sum(e * f for e, f in zip(x, y, strict=True)) / size, 9) if size else 0.0
+
+    got = vectors.nearest(q, v, 5, scope=[("label", "label")])
+    want = {(i, n + 1, c) for i, a, s in rows[:10] for n, (_, c) in enumerate(sorted((-cos(a, b), j) for j, b, t in rows if b and s and s == t)[:5])}
+    assert {(r.query_id, r["rank"], r.vec_id) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
 def test_lookup_pairs_are_never_shuffled(spark, monkeypatch):
     """Every pair once, whatever the blocks, and from an exchange no more rows than rows and queries in."""
     monkeypatch.setattr(lookup, "ROW_BLOCK", 16)
@@ -169,6 +188,32 @@ def test_metric_edges(spark):
     assert (m[4].precision, m[4].recall, m[4].ndcg) == (0.0, 1.0, 1.0)
 
 
+def test_relevance_by_another_column_is_not_repeated_for_each_query(spark):
+    q = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None)], "query_id long, label string")
+    got = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (2, "z", 1), (3, "x", 1), (4, "x", 1)], "query_id long, item_id string, rank int")
+    rel = spark.createDataFrame([("a", "y"), ("a", "w"), ("a", "w"), ("b", "x")], "label string, item_id string")
+    plain = metrics.retrieval_metrics(q, got, q.join(rel, "label").select("query_id", "item_id"))
+    by = metrics.retrieval_metrics(q, got, rel, by="label")
+    assert sorted(map(str, by.collect())) == sorted(map(str, plain.collect()))
+    relations = by._jdf.queryExecution().optimizedPlan().toString()
+    assert relations.count("LogicalRDD") + relations.count("LocalRelation") == plain._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") - 1
+
+
+def test_sections_move_texts_twice(spark):
+    """A text joins its hit and its section; ranks, places and leads are found without it."""
+    rows = [("d", i, f"c{i}", "s", "table" if i % 2 else "prose", f"text {i}", 3, False, False, None, None) for i in range(6)]
+    rows += [("d", 0, "s", None, "section", "Head", 2, False, False, "Head", "1")]
+    chunks = spark.createDataFrame(rows, "doc_id string, ord int, chunk_id string, parent_id string, chunk_type string, text string, tier int, has_table boolean, has_figure boolean, heading string, section_number string")
+    hits = spark.createDataFrame([(1, "c1", 0.5, 1), (1, "c3", 0.4, 2), (1, "s", 0.3, 3), (2, "c2", 0.9, 1), (2, "none", 0.1, 2)], "query_id long, chunk_id string, score double, rank int")
+    made = context.group_sections(hits, chunks)
+    got = {(r.query_id, r.parent_key): ([c.chunk_id for c in r.children], r.lead_ids, r.preamble, r.position, r.section_heading) for r in made.collect()}
+    assert got == {
+        (1, "s"): (["s", "c1", "c3"], ["c0", "c2"], "text 0\n\ntext 2", 1, "Head"), (2, "s"): (["c2"], [], "", 1, "Head"), (2, "none"): (["none"], [], "", 2, ""),
+    }
+    for line in made._jdf.queryExecution().optimizedPlan().toString().split("\n"):
+        assert "Window" not in line or "text" not in line.split("Window")[1]
+
+
 def test_budget_matches_greedy_rule(spark):
     rng = random.Random(3)
     rows = [(q, p, rng.randint(0, 60)) for q in range(40) for p in range(1, rng.randint(2, 9))]
