@@ -53,7 +53,7 @@ GROUPS = f"""{HIT_SQL}, l AS (SELECT *, lag(chunk_type) OVER w AS was, lag(chunk
 
 
 def sections(spark, sf_dir) -> DataFrame:
-    return context.group_sections(hits(spark, sf_dir).select("query_id", "chunk_id", "score", "rank", "text"), store(spark, sf_dir))
+    return context.group_sections(hits(spark, sf_dir).select("query_id", "chunk_id", "score", "rank"), store(spark, sf_dir))
 
 
 @query(f"WITH {GROUPS} SELECT query_id, parent_key, section_heading, children, round(best, 6) AS best, CAST(position AS INTEGER) AS position, CAST(tokens AS INTEGER) AS token_count FROM s")
