@@ -166,6 +166,20 @@ def _pick(values: Column, test: Callable[[Column], Column]) -> Column:
     return F.try_element_at(F.filter(values, test), F.lit(1))
 
 
+def _approval_cells(text: Column) -> Column:
+    """The cells of the first run of table rows from the line that opens an approval table, among the first 80 lines."""
+    rows = F.transform(F.slice(F.split(text, "\n"), 1, 80), lambda x: F.struct(x.alias("line"), x.rlike(structure.TABLE_ROW).alias("row"), (F.lower(x).rlike("approval|written by|approved by") & x.rlike(structure.TABLE_ROW)).alias("opens")))
+    walked = F.aggregate(
+        rows,
+        F.struct(F.lit(0).alias("state"), F.array().cast("array<string>").alias("kept")),
+        lambda acc, x: F.when((acc["state"] == 2) | ((acc["state"] == 0) & ~x["opens"]), acc)
+        .when(~x["row"], F.struct(F.lit(2).alias("state"), acc["kept"].alias("kept")))
+        .otherwise(F.struct(F.lit(1).alias("state"), F.array_append(acc["kept"], x["line"]).alias("kept"))),
+        lambda acc: acc["kept"],
+    )
+    return F.transform(walked, lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c)))
+
+
 def document_meta(sections: DataFrame, blocks: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "markdown") -> DataFrame:
     """One row for each document: title, type, module, system, revision, authors, approvers.
 
@@ -177,7 +191,7 @@ def document_meta(sections: DataFrame, blocks: DataFrame, docs: DataFrame, id_co
     top = sections.where("parent = 0").groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "heading"))), lambda x: x["heading"]).alias("all_heads"))
     heads = F.slice("all_heads", 1, 5)
     typed = _pick(F.col("heads"), lambda h: h.rlike(REPORT_WORDS) | h.rlike(SPEC_WORDS))
-    meta = docs.select(id_col, text_col).join(top, id_col, "left").select(id_col, text_col, F.coalesce(heads, F.array().cast("array<string>")).alias("heads"))
+    meta = docs.select(id_col, _approval_cells(F.col(text_col)).alias("cells")).join(top, id_col, "left").select(id_col, "cells", F.coalesce(heads, F.array().cast("array<string>")).alias("heads"))
     meta = meta.withColumn("named", typed)
 
     def abbreviation(h: Column) -> Column:
@@ -212,24 +226,11 @@ def document_meta(sections: DataFrame, blocks: DataFrame, docs: DataFrame, id_co
     approval = approval.select(id_col, F.nullif(F.array_max(dates), F.lit("")).alias("approved_on"))
     meta = meta.join(log, id_col, "left").join(approval, id_col, "left")
 
-    # the first run of table rows from the line that opens an approval table
-    rows = F.transform(F.slice(F.split(text_col, "\n"), 1, 80), lambda x: F.struct(x.alias("line"), x.rlike(structure.TABLE_ROW).alias("row"), (F.lower(x).rlike("approval|written by|approved by") & x.rlike(structure.TABLE_ROW)).alias("opens")))
-    walked = F.aggregate(
-        rows,
-        F.struct(F.lit(0).alias("state"), F.array().cast("array<string>").alias("kept")),
-        lambda acc, x: F.when((acc["state"] == 2) | ((acc["state"] == 0) & ~x["opens"]), acc)
-        .when(~x["row"], F.struct(F.lit(2).alias("state"), acc["kept"].alias("kept")))
-        .otherwise(F.struct(F.lit(1).alias("state"), F.array_append(acc["kept"], x["line"]).alias("kept"))),
-        lambda acc: acc["kept"],
-    )
-    cells = F.transform(walked, lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c)))
-
     def person(label: str, unless: str | None = None) -> Column:
         hits = F.filter("cells", lambda c: (F.size(c) > 1) & F.contains(F.lower(c[0]), F.lit(label)) & (F.try_element_at(c, F.lit(2)) != "") & (~F.contains(F.lower(c[0]), F.lit(unless)) if unless else F.lit(True)))
         name = F.try_element_at(F.try_element_at(hits, F.lit(-1)), F.lit(2))
         return F.when(name.isNotNull(), F.array(name)).otherwise(F.array().cast("array<string>"))
 
-    meta = meta.withColumn("cells", cells)
     blank = lambda c: F.coalesce(c, F.lit(""))
     named = F.col("named")
     return meta.select(
@@ -307,16 +308,21 @@ def chunk_documents(docs: DataFrame, config: ChunkConfig = ChunkConfig(), count:
     parent, in the order of ord.
     """
     docs = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("markdown"))
-    placed = written(structure.sections(structure.lines(docs)), "chunk-lines")
-    sections = placed.where("level IS NOT NULL")
-    blocks = written(structure.blocks(structure.islands(structure.regions(placed))), "chunk-blocks")
-    meta = written(document_meta(sections, blocks, docs), "chunk-meta")
+    lined = structure.lines(docs)
+    sections = written(structure.sections(lined.where("level IS NOT NULL")), "chunk-sections")  # a heading's place hangs on headings alone
     in_order = Window.partitionBy("doc_id").orderBy("line")
     tops = sections.where("parent = 0").withColumn("numbered", F.max(F.col("section_number").isNotNull().cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     tops = tops.withColumn("sec_idx", F.sum("numbered").over(in_order) - 1)
     top = tops.select("doc_id", F.col("line").alias("root"), F.col("heading").alias("top_heading"), F.col("section_number").alias("top_number"), "numbered", "sec_idx")
-    node = sections.select("doc_id", F.col("line").alias("node"), F.col("heading").alias("node_heading"), F.col("section_number").alias("node_number"), F.col("parent").alias("node_parent"))
-    at = blocks.join(node, ["doc_id", "node"], "left").join(top, ["doc_id", "root"], "left")
+    # all steps to the blocks go by document, so that lines are shuffled once; headings come as one row for each document
+    nodes = sections.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("line").alias("node"), F.col("heading").alias("node_heading"), F.col("section_number").alias("node_number"), F.col("parent").alias("node_parent"))).alias("nodes"))
+    roots = top.groupBy("doc_id").agg(F.collect_list(F.struct("root", "top_heading", "top_number", "numbered", "sec_idx")).alias("roots"))
+    blocks = structure.blocks(structure.islands(structure.regions(structure.sections(lined))))
+    own = _pick(F.col("nodes"), lambda n: n["node"] == F.col("node"))
+    above = _pick(F.col("roots"), lambda n: n["root"] == F.col("root"))
+    at = blocks.join(nodes, "doc_id", "left").join(roots, "doc_id", "left").select(*blocks.columns, own.alias("own"), above.alias("above"))
+    at = written(at.select(*blocks.columns, "own.node_heading", "own.node_number", "own.node_parent", "above.top_heading", "above.numbered", "above.sec_idx"), "chunk-blocks")
+    meta = written(document_meta(sections, at, docs), "chunk-meta")
 
     doc_key = chunk_id(F.col("doc_id"), [F.lit("__document__")], F.lit(0), F.lit(0))
     tier1 = meta.select(doc_key.alias("chunk_id"), "doc_id", F.lit("document_meta").alias("chunk_type"), F.lit(1).alias("tier"), document_summary().alias("text"), F.lit(0).alias("ord"))
@@ -327,19 +333,21 @@ def chunk_documents(docs: DataFrame, config: ChunkConfig = ChunkConfig(), count:
     kids = sections.where("parent > 0").select("doc_id", F.col("line").alias("node"), F.col("heading").alias("kid"), F.col("parent").alias("root")).join(lead, ["doc_id", "node"], "left")
     kid_text = F.concat_ws("\n\n", F.concat(F.lit("### "), "kid"), F.nullif(first_sentence(F.col("lead")), F.lit("")))
     kids = kids.groupBy("doc_id", "root").agg(F.array_sort(F.collect_list(F.struct("node", kid_text.alias("t")))).alias("kids"))
-    own = lead.select("doc_id", F.col("node").alias("root"), F.nullif(structure.stripped(F.substring_index("lead", "\n\n", 1)), F.lit("")).alias("para"))
-    body = body.join(own, ["doc_id", "root"], "left").join(kids, ["doc_id", "root"], "left")
+    paras = lead.select("doc_id", F.col("node").alias("root"), F.nullif(structure.stripped(F.substring_index("lead", "\n\n", 1)), F.lit("")).alias("para"))
+    body = body.join(paras, ["doc_id", "root"], "left").join(kids, ["doc_id", "root"], "left")
     sec_key = chunk_id(F.col("doc_id"), [F.lit("__section__"), F.col("top_heading")], F.col("sec_idx"), F.lit(0))
     told = F.concat_ws("\n\n", F.concat(F.lit("## "), "top_heading"), "para", F.array_join(F.transform("kids", lambda k: k["t"]), "\n\n"))
     body = body.select(sec_key.alias("chunk_id"), "doc_id", told.alias("text"), F.col("sec_idx").cast("int"), "root", F.col("top_heading").alias("heading"), F.col("top_number").alias("section_number"))
 
     # leaves of the body
     kind = fields.classify_block(F.col("block_type"), F.col("text"), F.col("node_heading"))
-    listed = at.where("numbered = 1").select("doc_id", "root", "start_line", F.col("node").cast("int").alias("node"), kind.alias("kind"), "text")
-    folded = listed.groupBy("doc_id", "root").agg(F.array_sort(F.collect_list(F.struct("start_line", "node", "kind", "text"))).alias("items"))
+    listed = at.where("numbered = 1").select("doc_id", "root", "start_line", F.col("node").cast("int").alias("node"), kind.alias("kind"), "text", "node_heading", "node_number", "top_heading", "sec_idx")
+    heads = F.collect_set(F.struct(F.col("node").cast("int").alias("node"), "node_heading", "node_number")).alias("nodes")
+    head = _pick(F.col("nodes"), lambda n: n["node"] == F.col("node"))
+    folded = listed.groupBy("doc_id", "root", "top_heading", "sec_idx").agg(F.array_sort(F.collect_list(F.struct("start_line", "node", "kind", "text"))).alias("items"), heads)
     plain = F.transform("items", lambda b: F.struct(b["node"].alias("node"), b["kind"].alias("kind"), b["text"].alias("text")))
-    leaf = folded.select("doc_id", "root", F.posexplode(size_fold(count, config)(plain)).alias("ord", "p")).select("doc_id", "root", "ord", "p.*")
-    leaf = leaf.join(node.drop("node_parent"), ["doc_id", "node"], "left").join(body.select("doc_id", "root", F.col("chunk_id").alias("parent_id"), "sec_idx", F.col("heading").alias("top_heading")), ["doc_id", "root"])
+    leaf = folded.select("doc_id", "top_heading", "sec_idx", "nodes", F.posexplode(size_fold(count, config)(plain)).alias("ord", "p")).select("doc_id", "top_heading", "sec_idx", "nodes", "ord", "p.*")
+    leaf = leaf.withColumn("head", head).select("*", "head.node_heading", "head.node_number", sec_key.alias("parent_id"))
     path = F.when(F.col("node_heading") == F.col("top_heading"), F.array("top_heading")).otherwise(F.array("top_heading", "node_heading"))
     leaf_key = chunk_id(F.col("doc_id"), [F.concat(F.lit("__s"), F.col("sec_idx").cast("string"), F.lit("__")), F.array_join(path, "|")], F.col("emit"), F.col("sub"))
     leaves = leaf.select(leaf_key.alias("chunk_id"), "doc_id", F.col("kind").alias("chunk_type"), "text", "whole", F.col("tokens").alias("token_count"), "parent_id", "ord", path.alias("section_path"), F.col("node_number").alias("section_number"), F.col("node_heading").alias("heading"))
@@ -347,12 +355,12 @@ def chunk_documents(docs: DataFrame, config: ChunkConfig = ChunkConfig(), count:
     # front matter
     fronts = at.where("root = 0 or numbered = 0").where("node = root or node_parent = root")
     front_heads = top.where("numbered = 0").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("root", "top_heading"))).alias("heads"))
-    front_items = fronts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_line", F.col("node").cast("int").alias("node"), F.lit("front_matter").alias("kind"), "text"))).alias("items"))
+    front_items = fronts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_line", F.col("node").cast("int").alias("node"), F.lit("front_matter").alias("kind"), "text"))).alias("items"), heads)
     front_key = chunk_id(F.col("doc_id"), [F.lit("__section__"), F.lit(FRONT)], F.lit(0), F.lit(0))
     front_text = F.concat_ws("\n", F.lit(f"## {FRONT}"), F.array_join(F.transform("heads", lambda h: F.concat(F.lit("- "), h["top_heading"])), "\n"))
     front = front_items.join(front_heads, "doc_id", "left")
     front_sec = front.select(front_key.alias("chunk_id"), "doc_id", F.regexp_replace(front_text, r"\n$", "").alias("text"), F.lit(-1).alias("sec_idx"), F.lit(0).alias("root"), F.lit(FRONT).alias("heading"), F.lit(None).cast("string").alias("section_number"))
-    front_leaf = front.select("doc_id", F.posexplode(size_fold(count, config, merge=False)(plain)).alias("ord", "p")).select("doc_id", "ord", "p.*").join(node, ["doc_id", "node"], "left")
+    front_leaf = front.select("doc_id", "nodes", F.posexplode(size_fold(count, config, merge=False)(plain)).alias("ord", "p")).select("doc_id", "nodes", "ord", "p.*").select("*", head["node_heading"].alias("node_heading"))
     front_leaves = front_leaf.select(
         chunk_id(F.col("doc_id"), [F.lit(FRONT)], F.col("emit"), F.col("sub")).alias("chunk_id"), "doc_id", F.lit("front_matter").alias("chunk_type"), "text", "whole", F.col("tokens").alias("token_count"),
         front_key.alias("parent_id"), "ord", F.array(F.lit(FRONT)).alias("section_path"), F.lit(None).cast("string").alias("section_number"), F.coalesce("node_heading", F.lit(FRONT)).alias("heading"),

@@ -1,5 +1,6 @@
 import random
 
+from quarrymill import session
 from quarrymill.operators import chunking as k
 from quarrymill.operators.structure import parse
 
@@ -114,3 +115,20 @@ def test_pieces_hold_every_word():
         for kind in ("prose", "test_case"):
             pieces = k.pieces_of(kind, text, COUNT, CONFIG)
             assert set(text.split()) <= set(" ".join(pieces).split())
+
+
+def test_chunking_shuffles_lines_once(spark, monkeypatch):
+    """All steps from lines to blocks go by document; sections need headings alone."""
+    plans = {}
+
+    def kept(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return session.written(df, label)
+
+    monkeypatch.setattr(k, "written", kept)
+    docs = spark.createDataFrame([(str(i), f"# 1 One\n\nlead {i}\n\n## 1.1 Two\n\n- item\n\n| a |\n# 2 Three\n---\nx\n---\ny") for i in range(3)], "doc_id string, markdown string")
+    chunks, _ = k.chunk_documents(docs)
+    assert chunks.where("tier = 3").count() == 3 * 4 and chunks.where("tier = 3 AND heading IS NULL").count() == 0
+    assert set(plans) == {"chunk-sections", "chunk-blocks", "chunk-meta"}
+    text = [x for x in plans["chunk-blocks"].split("\n") if "Exchange hashpartitioning(" in x]
+    assert len(text) == 3 and all("hashpartitioning(doc_id#" in x and x.count("#") <= 3 for x in text)
